@@ -134,15 +134,20 @@ def chained(bits: Bits, code: Code, n: int) -> np.ndarray:
     w = np.append(data, (0, 0, 0)).astype(np.uint32)
     w = w[:-3] | w[1:-2] << np.uint32(8) | w[2:-1] << np.uint32(16)
     look = ((w[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << code.width) - 1)).reshape(-1)
-    step = code.size[look].tolist()
-    p, at = bits.at & 7, []
-    try:
-        for _ in range(n):
-            at.append(p)
-            p += step[p]
-    except IndexError:
-        raise BadStream("it ends early") from None
-    bits.at = (low << 3) + p
+    end = len(look)
+    one = np.append(np.minimum(np.arange(end) + code.size[look], end), end)  # where the symbol after each place begins
+    two = one[one]
+    four = two[two].tolist()
+    p, heads = bits.at & 7, []
+    for _ in range(-(-n // 4)):
+        heads.append(p)
+        p = four[p]
+    h = np.array(heads)
+    h2 = two[h]
+    at = np.stack([h, one[h], h2, one[h2]], 1).reshape(-1)[:n]
+    if at[-1] >= end:
+        raise BadStream("it ends early")
+    bits.at = (low << 3) + int(one[at[-1]])
     if bits.at > bits.end:
         raise BadStream("it ends early")
     return code.symbol[look[at]]
