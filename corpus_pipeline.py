@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import jaccard, packing, pii, quality, substring
-from foliant.llm.common import shared_dir
+from foliant.llm.common import shared_dir, stored, without
 from foliant.llm.entry import tokenizer_path
+from foliant.llm.substring import NULL_ID
 
 
 def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,9 +30,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, the one of the smallest id. Rows that repeat an id are kept once."""
-    keep = jaccard.classes(docs.select("doc_id", "text")).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one document of each group, the one of the smallest id. Of rows that repeat an id one is kept. The ids that go, and those
+    that repeat, are few as a rule: they are broadcast up to a checked number, so the texts needn't be dealt anew."""
+    classes = stored(jaccard.classes(docs.select("doc_id", "text")), "classes")
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = without(docs, gone, "doc_id")
+    twice = classes.groupBy("doc_id").count().where("count > 1").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"))
+    if twice.isEmpty():
+        return kept
+    keyed = kept.withColumn("__id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    one = keyed.join(twice, "__id", "left_semi").dropDuplicates(["__id"])
+    return keyed.join(twice, "__id", "left_anti").unionByName(one).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,16 @@ def n_buckets(docs: DataFrame, each: int, text: str = "text") -> int:
     return int(total // each) + 1
 
 
+#: Ids are broadcast up to this many (8 bytes each); beyond it the join is dealt.
+BROADCAST_IDS = 1_000_000
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't in ids (rows of a null key stay). ids are written first and broadcast only if they are few."""
+    ids = stored(ids, "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), as (id, label), label the smallest id that links reach. Large-star and
     small-star rounds over the edge table, which is written to the shared folder after each; nothing is collected.

@@ -19,15 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_buckets, slices, stored
+from .common import BROADCAST_IDS, n_buckets, slices, stored
 from .runs import blobs, cuts, packed, unpacked
 from .wordstream import CASED, Words, mix
 
 WINDOW = 20
 #: Text bytes a slice and a range of fingerprints stand for.
 SLICE, RANGE = 8 << 20, 12 << 20
-#: Ids of affected documents are broadcast up to this many (8 bytes each); beyond it the join is dealt.
-BROADCAST_IDS = 1_000_000
 RUN = "bucket long, old boolean, docs binary, fingerprint binary, checked binary, doc binary, at binary, doc2 binary, at2 binary"
 NULL_ID = -(1 << 63)
 
