@@ -10,9 +10,10 @@ t = 0.8 or more share so many tokens that, of all tokens in one global order (ra
   extended until tokens and groups count e + 1. How many groups there are depends on the size band of the pair, so a set is indexed
   under its own band and, for larger partners' sake, under the band below.
 
-Sets that share an index entry are verified exactly on their shared tokens. In an entry, all are first compared with its smallest
-member; those found similar to it are linked through it, and only pairs with a member that is not are compared further, so a group of
-thousands of near copies costs a number of comparisons in proportion to its size. No link between different components is lost.
+Sets that share an index entry are verified exactly on their shared tokens. In a few rounds each set is first compared with one most
+central set of its entries (the one whose tokens are shared most, so the original of a family of copies), and components are formed; then
+all pairs in an entry whose components still differ are compared. So a group of thousands of near copies costs a number of comparisons in
+proportion to its size, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, n_buckets, slices, stored
@@ -31,7 +32,9 @@ from .wordstream import LOWERED, Words, mix
 SHINGLE, TENTHS = 5, 8
 #: Tokens in so many sets or more are a frequent class; their groups hold about a GROUP-th part of a set's size.
 FREQUENT, GROUP = 12, 8
-SLICE, RANGE = 8 << 20, 12 << 20
+SLICE, RANGE = 3 << 20, 12 << 20
+#: Rounds in which a set is compared with one central set, before all pairs that are left.
+ROUNDS = 3
 U = np.uint64
 
 
@@ -174,7 +177,9 @@ def entries(n: int, tokens: np.ndarray, freq: np.ndarray) -> np.ndarray:
 
 
 def indexed(found: DataFrame) -> DataFrame:
-    """From shared(): (sign, n, entry) rows of sets that may have a partner, and (sign, n, tokens) with their sorted shared tokens."""
+    """From shared(): (sign, n, s, entry, central) rows of sets that may have a partner (s: how many tokens
+    are shared; central: mean frequency of their tokens, in
+    thousandths), and (sign, n, tokens) with their sorted shared tokens."""
 
     def reduce(table: pa.Table) -> pa.Table:
         cols = {k: np.concatenate([unpacked(r[k], t) for r in table.select([k]).to_pylist()]) for k, t in (("sign", np.uint64), ("size", np.uint32), ("token", np.uint64), ("freq", np.uint32))}
@@ -182,18 +187,20 @@ def indexed(found: DataFrame) -> DataFrame:
         sign, size, token, freq = (cols[k][o] for k in ("sign", "size", "token", "freq"))
         at = np.flatnonzero(np.append(True, sign[1:] != sign[:-1]))
         end = np.append(at[1:], len(sign))
-        signs, sizes, all_entries, blobs = [], [], [], []
+        signs, sizes, sharing, all_entries, central, blobs = [], [], [], [], [], []
         for a, b in zip(at[(end - at) * 10 >= size[at] * TENTHS], end[(end - at) * 10 >= size[at] * TENTHS], strict=True):
             e = entries(int(size[a]), token[a:b], freq[a:b])
             if len(e):
                 signs += [sign[a]] * (len(e) + 1)
                 sizes += [size[a]] * (len(e) + 1)
+                sharing += [b - a] * (len(e) + 1)
                 all_entries += [pa.array(e.view(np.int64)), pa.array([None], pa.int64())]
+                central += [int(freq[a:b].sum() * 1000 // int(size[a]))] * (len(e) + 1)
                 blobs += [None] * len(e) + [packed(np.sort(token[a:b]))]
-        return pa.Table.from_arrays([pa.array(np.array(signs, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.concat_arrays(all_entries) if all_entries else pa.array([], pa.int64()), pa.array(blobs, pa.binary())], schema=OUT)
+        return pa.Table.from_arrays([pa.array(np.array(signs, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.array(np.array(sharing, np.int64)), pa.concat_arrays(all_entries) if all_entries else pa.array([], pa.int64()), pa.array(central, pa.int64()), pa.array(blobs, pa.binary())], schema=OUT)
 
-    OUT = pa.schema([("sign", pa.int64()), ("n", pa.int64()), ("entry", pa.int64()), ("tokens", pa.binary())])
-    return found.groupBy("part").applyInArrow(reduce, "sign long, n long, entry long, tokens binary")
+    OUT = pa.schema([("sign", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("entry", pa.int64()), ("central", pa.int64()), ("tokens", pa.binary())])
+    return found.groupBy("part").applyInArrow(reduce, "sign long, n long, s long, entry long, central long, tokens binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,18 +227,41 @@ def links(docs: DataFrame) -> DataFrame:
     buckets = n_buckets(docs, RANGE)
     index = stored(indexed(shared(postings(docs, buckets), buckets)), "sets")
     sets = index.where("entry is null").select("sign", "n", "tokens")
-    entry = index.where("entry is not null").select("entry", "sign", "n")
-    lead = entry.groupBy("entry").agg(F.min(F.struct("sign", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
-    fits = lambda x, y: (F.col(x) * TENTHS <= F.col(y) * 10) & (F.col(y) * TENTHS <= F.col(x) * 10)  # noqa: E731  else the sizes differ too much
-    member = entry.join(lead.select("entry", F.col("lead.sign").alias("a"), F.col("lead.n").alias("an")), "entry").where("sign <> a")
-    member = stored(member, "members")
-    star = stored(verified(member.where(fits("n", "an")).select("a", F.col("sign").alias("b")).distinct(), sets), "star")
-    rest = member.join(star.select("a", F.col("b").alias("sign"), F.lit(True).alias("done")), ["a", "sign"], "left")
-    open_ = rest.where("done is null").select("entry", F.col("sign").alias("p"), F.col("n").alias("pn"))
-    other = rest.select("entry", "sign", "n", "done")
-    pairs = open_.join(other, "entry").where(((F.col("sign") > F.col("p")) | (F.col("done") & (F.col("sign") != F.col("p")))) & fits("pn", "n"))
-    pairs = pairs.select(F.least("p", "sign").alias("a"), F.greatest("p", "sign").alias("b")).distinct()
-    return stored(star.unionByName(verified(pairs, sets)), "links")
+    entry = index.where("entry is not null").select("entry", "sign", "n", "s", "central")
+    member = stored(entry.join(entry.groupBy("entry").count().where("count > 1").select("entry"), "entry"), "members")
+
+    def fits(n: str, s: str, m: str, t: str) -> Column:
+        """Whether sets of n and m tokens, of which s and t are shared with any other set, can be similar: an intersection isn't larger
+        than s, t, n or m, and must be 8/18 of n + m at least."""
+        return F.least(n, s, m, t) * (10 + TENTHS) >= (F.col(n) + F.col(m)) * TENTHS
+
+
+    def labelled(label: DataFrame | None) -> DataFrame:
+        if label is None:
+            return member.withColumn("label", F.col("sign"))
+        return member.join(label.withColumnRenamed("id", "sign"), "sign", "left").withColumn("label", F.coalesce("label", "sign"))
+
+    def mixed(m: DataFrame) -> DataFrame:
+        """The most central member of each entry whose members aren't known to be of one component."""
+        return m.groupBy("entry").agg(F.max(F.struct("central", "sign", "n", "s", "label")).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("entry", "top")
+
+    found = tried = label = None
+    for _ in range(ROUNDS):
+        m = labelled(label)
+        near = m.join(mixed(m), "entry").select("sign", "n", "s", "label", "top.central", F.col("top.sign").alias("a"), F.col("top.n").alias("an"), F.col("top.s").alias("as"), F.col("top.label").alias("al"))
+        near = near.where("label <> al").where(fits("n", "s", "an", "as"))
+        if tried is not None:
+            near = near.join(tried.withColumnRenamed("b", "sign"), ["sign", "a"], "left_anti")
+        pairs = stored(near.groupBy("sign").agg(F.max(F.struct("central", "a")).alias("best")).select("best.a", F.col("sign").alias("b")), "pairs")
+        new = stored(verified(pairs, sets), "near")
+        tried, found = (pairs, new) if found is None else (tried.unionByName(pairs), found.unionByName(new))
+        label = stored(components(found), "labels")
+    m = labelled(label)
+    m = stored(m.join(mixed(m).select("entry"), "entry", "left_semi"), "rest")
+    p = m.select("entry", F.col("sign").alias("p"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("label").alias("pl"))
+    pairs = p.join(m, "entry").where("p < sign and pl <> label").where(fits("pn", "ps", "n", "s")).select(F.col("p").alias("a"), F.col("sign").alias("b")).distinct()
+    either = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stored(found.unionByName(verified(pairs.join(either, ["a", "b"], "left_anti"), sets)), "links")
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from .wordstream import CASED, Words, mix
 
 WINDOW = 20
 #: Text bytes a slice and a range of fingerprints stand for.
-SLICE, RANGE = 8 << 20, 12 << 20
+SLICE, RANGE = 3 << 20, 12 << 20
 RUN = "bucket long, old boolean, docs binary, fingerprint binary, checked binary, doc binary, at binary, doc2 binary, at2 binary"
 NULL_ID = -(1 << 63)
 
