@@ -19,6 +19,8 @@ proportion to its size, and no link between different components is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ SHINGLE, TENTHS = 5, 8
 #: Tokens in so many sets or more are a frequent class; their groups hold about a GROUP-th part of a set's size.
 FREQUENT, GROUP = 12, 8
 SLICE, RANGE = 3 << 20, 12 << 20
+#: Longs in a sketch of a set's shared tokens.
+WORDS = 16
 #: Rounds in which a set is compared with one central set, before all pairs that are left.
 ROUNDS = 3
 U = np.uint64
@@ -105,7 +109,7 @@ def postings(docs: DataFrame, buckets: int) -> DataFrame:
 def shared(post: DataFrame, buckets: int) -> DataFrame:
     """Tokens that occur in two sets or more, with that number, dealt by set: (part, sign, size, token, freq), packed."""
 
-    def reduce(table: pa.Table) -> pa.Table:
+    def gather(table: pa.Table) -> pa.Table:
         sign, size, token = [], [], []
         for r in table.to_pylist():
             at = unpacked(r["set"], np.uint32)
@@ -132,7 +136,15 @@ def shared(post: DataFrame, buckets: int) -> DataFrame:
         return pa.Table.from_arrays([pa.array(part, pa.int64()), *(pa.array(x, pa.binary()) for x in rows)], schema=OUT)
 
     OUT = pa.schema([("part", pa.int64()), *((k, pa.binary()) for k in ("sign", "size", "token", "freq"))])
-    return post.groupBy("bucket").applyInArrow(reduce, "part long, sign binary, size binary, token binary, freq binary")
+    return post.groupBy("bucket").applyInArrow(gather, "part long, sign binary, size binary, token binary, freq binary")
+
+
+def sketch(tokens: np.ndarray) -> list[int]:
+    """Parities of the tokens that fall on each of 64 * WORDS bits. The bits in which two sketches differ are at most the tokens in which
+    the sets differ, so it rules pairs out without error."""
+    h = mix(tokens, 61)
+    odd = np.bincount((h % U(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def band(n: int) -> int:
@@ -181,13 +193,13 @@ def indexed(found: DataFrame) -> DataFrame:
     are shared; central: mean frequency of their tokens, in
     thousandths), and (sign, n, tokens) with their sorted shared tokens."""
 
-    def reduce(table: pa.Table) -> pa.Table:
+    def gather(table: pa.Table) -> pa.Table:
         cols = {k: np.concatenate([unpacked(r[k], t) for r in table.select([k]).to_pylist()]) for k, t in (("sign", np.uint64), ("size", np.uint32), ("token", np.uint64), ("freq", np.uint32))}
         o = np.lexsort((cols["token"], cols["freq"], cols["sign"]))
         sign, size, token, freq = (cols[k][o] for k in ("sign", "size", "token", "freq"))
         at = np.flatnonzero(np.append(True, sign[1:] != sign[:-1]))
         end = np.append(at[1:], len(sign))
-        signs, sizes, sharing, all_entries, central, blobs = [], [], [], [], [], []
+        signs, sizes, sharing, all_entries, central, blobs, marks = [], [], [], [], [], [], []
         for a, b in zip(at[(end - at) * 10 >= size[at] * TENTHS], end[(end - at) * 10 >= size[at] * TENTHS], strict=True):
             e = entries(int(size[a]), token[a:b], freq[a:b])
             if len(e):
@@ -196,11 +208,12 @@ def indexed(found: DataFrame) -> DataFrame:
                 sharing += [b - a] * (len(e) + 1)
                 all_entries += [pa.array(e.view(np.int64)), pa.array([None], pa.int64())]
                 central += [int(freq[a:b].sum() * 1000 // int(size[a]))] * (len(e) + 1)
+                marks += [None] * len(e) + [sketch(token[a:b])]
                 blobs += [None] * len(e) + [packed(np.sort(token[a:b]))]
-        return pa.Table.from_arrays([pa.array(np.array(signs, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.array(np.array(sharing, np.int64)), pa.concat_arrays(all_entries) if all_entries else pa.array([], pa.int64()), pa.array(central, pa.int64()), pa.array(blobs, pa.binary())], schema=OUT)
+        return pa.Table.from_arrays([pa.array(np.array(signs, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.array(np.array(sharing, np.int64)), pa.concat_arrays(all_entries) if all_entries else pa.array([], pa.int64()), pa.array(central, pa.int64()), pa.array(blobs, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], schema=OUT)
 
-    OUT = pa.schema([("sign", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("entry", pa.int64()), ("central", pa.int64()), ("tokens", pa.binary())])
-    return found.groupBy("part").applyInArrow(reduce, "sign long, n long, s long, entry long, central long, tokens binary")
+    OUT = pa.schema([("sign", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("entry", pa.int64()), ("central", pa.int64()), ("tokens", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+    return found.groupBy("part").applyInArrow(gather, "sign long, n long, s long, entry long, central long, tokens binary, sketch array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,9 +270,14 @@ def links(docs: DataFrame) -> DataFrame:
         tried, found = (pairs, new) if found is None else (tried.unionByName(pairs), found.unionByName(new))
         label = stored(components(found), "labels")
     m = labelled(label)
-    m = stored(m.join(mixed(m).select("entry"), "entry", "left_semi"), "rest")
-    p = m.select("entry", F.col("sign").alias("p"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("label").alias("pl"))
-    pairs = p.join(m, "entry").where("p < sign and pl <> label").where(fits("pn", "ps", "n", "s")).select(F.col("p").alias("a"), F.col("sign").alias("b")).distinct()
+    marks = [F.col("sketch")[i].alias(f"w{i}") for i in range(WORDS)]
+    m = m.join(mixed(m).select("entry"), "entry", "left_semi").join(index.where("entry is null").select("sign", *marks), "sign")
+    m = stored(m, "rest")
+    p = m.select("entry", F.col("sign").alias("p"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("label").alias("pl"), *(F.col(f"w{i}").alias(f"v{i}") for i in range(WORDS)))
+    differ = reduce(add, (F.bit_count(F.col(f"v{i}").bitwiseXOR(F.col(f"w{i}"))) for i in range(WORDS)))
+    # tokens in which two sets differ: those of their own, and shared ones; at most a ninth of all if they are similar
+    alike = (differ + F.col("pn") - F.col("ps") + F.col("n") - F.col("s")) * (10 + TENTHS) <= (F.col("pn") + F.col("n")) * (10 - TENTHS)
+    pairs = p.join(m, "entry").where("p < sign and pl <> label").where(fits("pn", "ps", "n", "s") & alike).select(F.col("p").alias("a"), F.col("sign").alias("b")).distinct()
     either = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return stored(found.unionByName(verified(pairs.join(either, ["a", "b"], "left_anti"), sets)), "links")
 
