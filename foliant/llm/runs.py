@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 
 _pack, _unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -30,9 +29,3 @@ def cuts(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     b = bucket_of(h, n)
     at = np.flatnonzero(np.diff(b, prepend=-1))
     return b[at], np.append(at, len(h))
-
-
-def blobs(data: np.ndarray, at: np.ndarray) -> pa.Array:
-    """One binary value for each slice of data."""
-    off = (at * data.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])

@@ -12,7 +12,7 @@ Incremental use: runs() of earlier documents, compacted() when there are many, a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, n_buckets, slices, stored
-from .runs import blobs, cuts, packed, unpacked
+from .runs import cuts, packed, unpacked
 from .wordstream import CASED, Words, mix
 
 WINDOW = 20
@@ -122,21 +122,33 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Levels:
     return index
 
 
-def repeats(new: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """doc_id and at (little-endian unsigned 32-bit starts) of the windows that repeat an earlier one. new and history: runs() with the
-    same number of buckets."""
+def repeats(new: DataFrame, history: DataFrame | None = None, parts: int = 1) -> DataFrame:
+    """doc_id and at (packed unsigned 32-bit starts) of the windows that repeat an earlier one, a row for each document that has any. new
+    and history: runs() with the same number of buckets. The repeats of a range go to the `parts` that their documents are dealt by."""
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = gathered(batches)
         index.whole()
-        doc, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*index.repeats, strict=True)) if index.repeats else (np.zeros(0, np.int64),) * 2
-        o = np.argsort(doc, kind="stable")
-        doc, at = doc[o], at[o].astype(np.uint32)
-        edge = np.append(np.flatnonzero(np.diff(doc, prepend=0 if len(doc) and doc[0] else 1)), len(doc)) if len(doc) else np.zeros(1, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[edge[:-1]], pa.int64()), blobs(at, edge)], ["doc_id", "at"])
+        if not index.repeats:
+            return
+        doc, at = (np.concatenate(x) for x in zip(*index.repeats, strict=True))
+        part = (mix(doc.astype(np.int64).view(np.uint64), 3) % np.uint64(parts)).astype(np.int64)
+        o = np.argsort(part, kind="stable")
+        part, doc, at = part[o], doc[o], at[o].astype(np.uint32)
+        edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        rows = [[packed(x[edge[i] : edge[i + 1]]) for i in range(len(edge) - 1)] for x in (doc, at)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), *(pa.array(x, pa.binary()) for x in rows)], ["part", "doc", "at"])
+
+    def by_document(table: pa.Table) -> pa.Table:
+        doc, at = (np.concatenate([unpacked(x, t) for x in table.column(k).to_pylist()]) for k, t in (("doc", np.int64), ("at", np.uint32)))
+        o = np.lexsort((at, doc))
+        doc, at = doc[o], at[o]
+        edge = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
+        return pa.table({"doc_id": doc[edge[:-1]], "at": pa.array([packed(at[edge[i] : edge[i + 1]]) for i in range(len(edge) - 1)], pa.binary())})
 
     every = new if history is None else new.unionByName(history)
-    return every.groupBy("bucket").applyInArrow(_grouped(reduce), "doc_id long, at binary")
+    found = every.groupBy("bucket").applyInArrow(_grouped(find, [("part", pa.int64()), ("doc", pa.binary()), ("at", pa.binary())]), "part long, doc binary, at binary")
+    return found.groupBy("part").applyInArrow(by_document, "doc_id long, at binary")
 
 
 def compacted(history: DataFrame) -> DataFrame:
@@ -153,12 +165,12 @@ def compacted(history: DataFrame) -> DataFrame:
     return history.groupBy("bucket").applyInArrow(_grouped(reduce), RUN)
 
 
-def _grouped(f):  # noqa: ANN001, ANN202
-    """applyInArrow tells the iterator form by its hints."""
+def _grouped(f: Callable, empty: list | None = None) -> Callable:
+    """The form of applyInArrow that takes a whole group as a table."""
 
     def run(table: pa.Table) -> pa.Table:
         out = list(f(iter(table.to_batches())))
-        return pa.Table.from_batches(out)
+        return pa.Table.from_batches(out) if out else pa.schema(empty).empty_table()
 
     return run
 
@@ -187,8 +199,7 @@ def removed(docs: DataFrame, digest: bool = False, window: int = WINDOW, history
     spark = docs.sparkSession
     spark_docs = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
     buckets = buckets or n_buckets(docs, RANGE)
-    found = stored(repeats(runs(docs, buckets, window), history), "repeats")
-    found = found.groupBy("doc_id").agg(F.collect_list("at").alias("__at")).withColumnRenamed("doc_id", "__id")
+    found = stored(repeats(runs(docs, buckets, window), history, buckets), "repeats").select(F.col("doc_id").alias("__id"), F.col("at").alias("__at"))
     names = [c for c in docs.columns if not (digest and c == "text")]
     extra = [("n_words", pa.int64()), ("n_removed", pa.int64()), *([("kept_sha256", pa.string())] if digest else [])]
     kinds = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"{k} {'string' if t == pa.string() else 'long'}" for k, t in extra])
@@ -200,7 +211,7 @@ def removed(docs: DataFrame, digest: bool = False, window: int = WINDOW, history
             lists = b.column("__at").to_pylist() if has else [None] * len(b)
             raw = b.column("text").to_pylist()
             for t, x in zip(raw, lists, strict=True):
-                n, gone, kept = kept_words((t or "").encode(), np.frombuffer(b"".join(x), np.uint32).astype(np.int64) if x else np.zeros(0, np.int64), window)
+                n, gone, kept = kept_words((t or "").encode(), unpacked(x, np.uint32).astype(np.int64) if x else np.zeros(0, np.int64), window)
                 rows.append((n, gone, hashlib.sha256(kept).hexdigest()) if digest else (n, gone))
                 texts.append(kept.decode() if gone else t)
             c = list(zip(*rows, strict=True))
