@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Pieces in a salted group, on average.
 GROUP = 20_000
 
