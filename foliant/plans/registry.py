@@ -4,12 +4,284 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foliant.functions import text as fn
+from foliant.operators import blocks, dialogue, toc
+from foliant.sources import pages as web
+from foliant.streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+TITLES = ("Preface", "Introduction", "Chapter One", "Copyright Notice", "Methods", "Index", "References", "Appendix A", "About the Author", "Results", "List of Figures", "Acknowledgements", "Praise for the book", "Contents", "Foreword by a friend", "Glossary")
+
+
+def query(oracle: str = "") -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+WORDS = r"len(regexp_extract_all({0}, '\S+'))"
+
+
+@query(rf"select conv_id, turn, case role when 'user' then 'S1' when 'assistant' then 'S2' else 'PAUSE' end tag, {WORDS.format('text')}::bigint n_words from conversations")
+def dialogue_turns(spark: SparkSession, d: str) -> DataFrame:
+    tag = F.when(F.col("role") == "user", "S1").when(F.col("role") == "assistant", "S2").otherwise("PAUSE")
+    return table(spark, d, "conversations").select("conv_id", "turn", tag.alias("tag"), fn.word_count(F.col("text")).alias("n_words"))
+
+
+@query(rf"""with t as (select conv_id, sum(case when role = 'user' then {WORDS.format('text')} else 0 end)::bigint s1_words, sum(case when role = 'assistant' then {WORDS.format('text')} else 0 end)::bigint s2_words from conversations group by 1)
+select *, case when greatest(s1_words, s2_words) = 0 then 0.0 else least(s1_words, s2_words)::double / greatest(s1_words, s2_words) end balance, case when greatest(s1_words, s2_words) = 0 then false else least(s1_words, s2_words)::double / greatest(s1_words, s2_words) > 0.6 end good from t""")
+def speaker_balance(spark: SparkSession, d: str) -> DataFrame:
+    t = dialogue_turns(spark, d)
+    n = lambda tag: F.sum(F.when(F.col("tag") == tag, F.col("n_words")).otherwise(0)).alias(f"{tag.lower()}_words")
+    balance = F.coalesce(F.try_divide(F.least("s1_words", "s2_words").cast("double"), F.greatest("s1_words", "s2_words")), F.lit(0.0))
+    return t.groupBy("conv_id").agg(n("S1"), n("S2")).withColumn("balance", balance).withColumn("good", F.col("balance") > 0.6)
+
+
+SCRIPT = "case role when 'user' then '[S1] ' || text when 'assistant' then '[S2] ' || text else '[PAUSE_MEDIUM]' end"
+
+
+def scripts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").withColumn("piece", F.expr(SCRIPT))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "piece"))), lambda x: x["piece"]), "\n").alias("dialogue"))
+
+
+@query(rf"""with t as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 turn_idx, case role when 'user' then 'S1' when 'assistant' then 'S2' else 'PAUSE' end tag,
+ case when role in ('user', 'assistant') then ({WORDS.format('text')} * 1440000.0 / 150)::bigint + 7200 else 28800 end samples from conversations where role not in ('user', 'assistant') or {WORDS.format('text')} > 0)
+select *, coalesce(sum(samples) over (partition by conv_id order by turn_idx rows between unbounded preceding and 1 preceding), 0)::bigint "offset" from t""")
+def timeline_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return dialogue.timeline(dialogue.turns(scripts(spark, d), "conv_id"), "conv_id").drop("text")
+
+
+@query(rf"""select doc_id, {WORDS.format('text')}::bigint n_words, length(text)::bigint n_chars, (length(text) // 4)::bigint n_tokens, ({WORDS.format('text')} // 150)::bigint target_minutes, round_even(100.0 * (length(text) // 4) / 20305, 0)::bigint percent,
+ lpad(((length(text) // 10) // 3600)::varchar, 2, '0') || ':' || lpad((((length(text) // 10) % 3600) // 60)::varchar, 2, '0') || ':' || lpad(((length(text) // 10) % 60)::varchar, 2, '0') spoken, left(replace(replace(left(text, 60), '/', '-'), ' ', '_'), 50) file_name from documents where length(text) >= 10""")
+def word_stats(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    words, tokens = fn.word_count(t), fn.token_estimate(t)
+    return table(spark, d, "documents").where(F.length("text") >= 10).select("doc_id", words.alias("n_words"), F.length("text").cast("long").alias("n_chars"), tokens.alias("n_tokens"), F.floor(words / 150).cast("long").alias("target_minutes"), F.bround(100 * tokens / 20305, 0).cast("long").alias("percent"), fn.duration(F.floor(F.length("text") / 10)).alias("spoken"), fn.safe_name(F.substring("text", 1, 60)).alias("file_name"))
+
+
+LINKS = "('https://github.com/a/b/blob/main/x/paper one.PDF', null), ('http://h.org/doc?id=3', 'application/pdf; x'), ('local/file.pdf', null), ('https://h.org/a%20b.pdf?x=1', 'text/html')"
+
+
+@query(rf"""with v as (select url as value, null::varchar content_type from pages union all select * from (values {LINKS}))
+, r as (select value, content_type, regexp_replace(value, '^https?://github\.com/([^/]+)/([^/]+)/blob/(.+)$', 'https://raw.githubusercontent.com/\1/\2/\3') path from v)
+, n as (select *, url_decode(regexp_extract(regexp_replace(regexp_replace(path, '^[A-Za-z]+://[^/]*', ''), '[?#].*$', ''), '([^/]*)$', 1)) nm from r)
+select value, case when not (path like 'http://%' or path like 'https://%') then 'pdf' when lower(path) like '%.pdf' or coalesce(content_type like '%application/pdf%', false) then 'pdf' else 'url' end kind, path,
+ regexp_replace(case when nm = '' then 'download.pdf' when lower(nm) like '%.pdf' then nm else nm || '.pdf' end, '[^\w.\-]', '_', 'g') name from n""")
+def source_resolve(spark: SparkSession, d: str) -> DataFrame:
+    more = spark.sql(f"select * from values {LINKS} as t(value, content_type)")
+    v = table(spark, d, "pages").select(F.col("url").alias("value"), F.lit(None).cast("string").alias("content_type")).unionByName(more)
+    v = v.withColumn("path", web.raw_url(F.col("value")))
+    return v.select("value", web.source_kind(F.col("path"), F.col("content_type")).alias("kind"), "path", web.download_name(F.col("path")).alias("name"))
+
+
+NAMES = ", ".join(f"'{t}'" for t in TITLES)
+ENTRIES = f"""select l_orderkey doc_id, l_linenumber::bigint ord, (1 + l_linenumber % 3)::bigint level, ([{NAMES}])[1 + l_partkey % {len(TITLES)}] title, sum(l_quantity::bigint) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity)::bigint - 1 page
+ from (select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity) = 1)"""
+KIND = r"""case when regexp_matches(title, '(?i)^cover$|^half\s*title|^title\s*page|^copyright|^table\s*of\s*contents$|^contents$|^list\s*of\s*(figures|tables|illustrations)|^dedication|^epigraph|^praise\b|^endorsements?$|^also\s*by\b|^about\s*the\s*cover') then 'front'
+ when regexp_matches(title, '(?i)^index$|^glossary$|^bibliography$|^references$|^about\s*the\s*authors?$|^colophon$|appendix|^acknowledge?ments?$') then 'back' when regexp_matches(title, '(?i)^foreword|^preface|^introduction$') then 'preamble' else 'content' end"""
+
+
+def entries(spark: SparkSession, d: str) -> DataFrame:
+    one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").withColumn("rn", F.row_number().over(one)).where("rn = 1")
+    page = F.sum(F.col("l_quantity").cast("long")).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    title = F.get(F.array(*map(F.lit, TITLES)), (F.col("l_partkey") % len(TITLES)).cast("int"))
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("ord"), (1 + F.col("l_linenumber") % 3).cast("long").alias("level"), title.alias("title"), page.alias("page"))
+
+
+@query(f"select doc_id, ord, title, {KIND} kind from ({ENTRIES})")
+def toc_classify(spark: SparkSession, d: str) -> DataFrame:
+    return entries(spark, d).select("doc_id", "ord", "title", toc.kind(F.col("title")).alias("kind"))
+
+
+RANGES = f"""with e as (select *, {KIND} kind from ({ENTRIES})), tot as (select doc_id, max(page) + 10 total_pages from e group by 1), top as (select *, min((kind = 'back')::int) over (partition by doc_id order by ord desc rows unbounded preceding) tail from e where level = 1),
+ a as (select doc_id, min_by(page, ord) filter (where kind in ('preamble', 'content')) s, min_by(page, ord) filter (where tail = 1) b from top group by 1), r as (select doc_id, coalesce(s, 0)::bigint start_page, coalesce(b - 1, total_pages - 1)::bigint end_page from tot left join a using (doc_id))"""
+
+
+def content_ranges(spark: SparkSession, d: str) -> DataFrame:
+    e = entries(spark, d)
+    return toc.ranges(e, e.groupBy("doc_id").agg((F.max("page") + 10).alias("total_pages")))
+
+
+@query(RANGES + " select * from r")
+def toc_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return content_ranges(spark, d)
+
+
+SECTIONS = RANGES + """, q as (select e.*, start_page s, end_page n from e join r using (doc_id) where level <= 2 and kind in ('preamble', 'content') and page between start_page and end_page), w as (select *, lead(page) over x np, lead(level) over x nl from q window x as (partition by doc_id order by ord)),
+ secs as (select doc_id, row_number() over (partition by doc_id order by ord) - 1 section_idx, title, level, page start_page, coalesce(greatest(page, np - 1), n)::bigint end_page from w where not coalesce(np = page and nl > level, false))"""
+
+
+@query(SECTIONS + " select * from secs")
+def toc_sections(spark: SparkSession, d: str) -> DataFrame:
+    return toc.sections(entries(spark, d), content_ranges(spark, d))
+
+
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    p = entries(spark, d).groupBy("doc_id").agg((F.max("page") + 10).alias("n"))
+    return p.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("page")).withColumn("chars", (F.col("doc_id") * 31 + F.col("page") * 17) % 4000)
+
+
+PAGES = "(select doc_id, unnest(range(0, total_pages)) page from tot)"
+
+
+@query(SECTIONS + f" select s.*, coalesce((select sum((p.doc_id * 31 + p.page * 17) % 4000) from {PAGES} p where p.doc_id = s.doc_id and p.page between s.start_page and s.end_page), 0)::bigint // 4 tokens from secs s")
+def toc_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return toc.page_tokens(toc_sections(spark, d), page_text(spark, d))
+
+
+@query()
+def page_packing(spark: SparkSession, d: str) -> DataFrame:
+    return toc.packed_pages(page_text(spark, d), 20305)
+
+
+HEADINGS = "select p_size::bigint doc_id, p_partkey ord, case when p_partkey % 3 = 0 then (p_partkey % 7)::varchar || '.' || (p_partkey % 4)::varchar || ' ' || p_type when p_partkey % 11 = 0 then 'f(x)' else p_type end title, case when p_partkey % 5 > 0 then p_partkey % 40 end page, (p_partkey % 3 * 4)::double font_size from part"
+
+
+@query(rf"""with h as ({HEADINGS}), a as (select *, count(*) over (partition by doc_id, title) n, row_number() over (partition by doc_id, title order by ord) rn from h where length(title) >= 3 and not regexp_matches(title, '^[a-z]\(.+\)$')),
+ b as (select *, regexp_extract(title, '^(\d+(?:\.\d+)*)\s', 1) num, case when font_size > 0 then font_size end sz from a where n <= 2 and rn = 1), c as (select *, avg((num <> '')::int) over (partition by doc_id) share, max(sz) over (partition by doc_id) most, len(list_distinct(list(sz) over (partition by doc_id))) k from b)
+ select doc_id, ord, title, coalesce(page, 0)::bigint page, case when share > 0.5 then case when num <> '' then len(regexp_extract_all(num, '\.')) + 1 else 1 end when k >= 2 and not coalesce(sz >= most, false) then 2 else 1 end::bigint as level from c""")
+def heading_clean(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "part").createOrReplaceTempView("foliant_part")
+    sql = HEADINGS.replace("from part", "from foliant_part").replace("::varchar", "::string")
+    return toc.cleaned_headings(spark.sql(sql)).withColumn("page", F.col("page").cast("long"))
+
+
+@query("select unnest(case when o_orderkey % 3 = 0 then [0] when o_orderkey % 3 = 1 then [8] else range(o_orderkey % 7, 1 + least(8, o_orderkey % 5 + 3)) end)::bigint idx, o_orderkey from orders where o_orderkey % 3 < 2 or o_orderkey % 7 <= least(8, o_orderkey % 5 + 3)")
+def only_selector(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    value = F.when(o % 3 == 0, "intro").when(o % 3 == 1, "outro").otherwise(F.concat((o % 7).cast("string"), F.lit("-"), (o % 5 + 3).cast("string")))
+    total = 9
+    lo, hi = F.split_part(value, F.lit("-"), F.lit(1)).try_cast("long"), F.split_part(value, F.lit("-"), F.lit(2)).try_cast("long")
+    a = F.when(value == "intro", 0).when(value == "outro", total - 1).otherwise(F.greatest(lo, F.lit(0)))
+    b = F.when(value == "intro", 0).when(value == "outro", total - 1).otherwise(F.least(hi, F.lit(total - 1)))
+    return table(spark, d, "orders").where(a <= b).select(F.explode(F.sequence(a.cast("long"), b.cast("long"))).alias("idx"), "o_orderkey")
+
+
+@query("select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
+def uncached_work(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(done, "o_orderkey", "left_anti")
+
+
+ONE, TEN = ", ".join(f"'{w}'" for w in fn.ONES), ", ".join(f"'{w}'" for w in fn.TENS)
+SMALL = "concat_ws(' ', case when {0} >= 100 then o[1 + {0} // 100] || ' hundred' end, case when {0} % 100 = 0 then null when {0} % 100 < 20 then o[1 + {0} % 100] else t[1 + {0} % 100 // 10] || case when {0} % 10 > 0 then ' ' || o[1 + {0} % 10] else '' end end)"
+
+
+@query(f"""with x as (select o_orderkey, (o_orderkey * 7919) % 10000000 n, [{ONE}] o, [{TEN}] t from orders) select o_orderkey, case when n = 0 then 'zero' else concat_ws(' ', case when n >= 1000000 then {SMALL.format('(n // 1000000)')} || ' million' end,
+ case when n // 1000 % 1000 > 0 then {SMALL.format('(n // 1000 % 1000)')} || ' thousand' end, case when n % 1000 > 0 then {SMALL.format('(n % 1000)')} end) end words from x""")
+def number_words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", fn.int_words((F.col("o_orderkey") * 7919) % 10_000_000).alias("words"))
+
+
+@query(r"""select doc_id, case when lang = 'en' and source = 'src0' then '' when lang = substr(lang, 1, 2) and source = 'src0' then ' The source is in ' || lang || '. Write in ' || lang || '.' when lang = 'en' then '' else ' The source is in ' || lang || '. Translate and write in en.' end instruction,
+ case doc_id % 3 when 1 then '[PAUSE_LONG]' || chr(10) || chr(10) || 'Let''s begin our discussion of ' || source || '.' when 2 then '[PAUSE_MEDIUM]' || chr(10) || chr(10) || 'Let''s now turn our attention to ' || source || '.' else 'Moving on to ' || source || '.' end heading,
+ case doc_id % 4 when 0 then null when 1 then 'by ' || source else source end verdict from documents""")
+def prompt_columns(spark: SparkSession, d: str) -> DataFrame:
+    target = F.when(F.col("source") == "src0", F.col("lang")).otherwise("en")
+    answer = F.when(F.col("doc_id") % 4 == 0, "skip this").when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" Mention: by "), "source")).otherwise(F.concat(F.lit("\n"), "source"))
+    return table(spark, d, "documents").select("doc_id", fn.language_instruction(F.col("lang"), target).alias("instruction"), fn.heading_transition(F.col("source"), F.col("doc_id") % 3).alias("heading"), fn.verdict(answer).alias("verdict"))
+
+
+MARKED = "case when (i % 5) = 0 then case when (doc_id + i) % 2 = 0 then '# ' else '## ' end || line else line end"
+
+
+@query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 i from documents), m as (select doc_id, i, {MARKED} line from l), s as (select *, sum((line like '## %')::int) over (partition by doc_id order by i) k from m)
+ select doc_id, k::bigint section_idx, coalesce(max(trim(ltrim(line, '#'))) filter (where line like '## %'), 'Introduction') title, coalesce(string_agg(line, chr(10) order by i) filter (where line not like '## %'), '') content from s group by doc_id, k having count(*) filter (where line not like '## %') > 0""")
+def md_sections(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("line", F.expr(MARKED))
+    head = F.col("line").startswith("## ")
+    s = m.withColumn("head", head).withColumn("k", F.sum(head.cast("int")).over(Window.partitionBy("doc_id").orderBy("i")))
+    g = s.groupBy("doc_id", F.col("k").alias("section_idx")).agg(F.max(F.when(F.col("head"), F.trim(F.ltrim("line", F.lit("#"))))).alias("title"), F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("i", "line")))).alias("b"))
+    return g.where(F.size("b") > 0).select("doc_id", "section_idx", F.coalesce("title", F.lit("Introduction")).alias("title"), F.array_join(F.transform("b", lambda x: x["line"]), "\n").alias("content"))
+
+
+@query(r"""select doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::bigint line_idx from documents qualify false union all
+select doc_id, i line_idx from (select doc_id, unnest(string_split(text, chr(10))) line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::bigint i from documents) where regexp_matches(trim(line), '(?i)copyright|©|creative commons|this work is licensed|permission to make|[a-z.]+@[a-z.]+\.[a-z]{2,}')""")
+def metadata_lines(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    return l.where(F.trim("line").rlike(r"(?i)copyright|©|creative commons|this work is licensed|permission to make|[a-z.]+@[a-z.]+\.[a-z]{2,}")).select("doc_id", F.col("i").cast("long").alias("line_idx"))
+
+
+ACTION = "case event_type when 'signup' then 'enqueue' when 'view' then 'start' when 'purchase' then 'exit_ok' when 'error' then 'exit_error' else 'stop' end"
+STATUS = "case event_type when 'signup' then 'queued' when 'view' then 'running' when 'purchase' then 'completed' when 'error' then 'error' else 'stopped' end"
+
+
+def job_events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.expr(ACTION).alias("action"))
+
+
+@query(f"select user_id job_id, max_by({STATUS}, event_id) status, count(*) n_events from events group by 1")
+def job_state(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.job_status(job_events(spark, d))
+
+
+@query(f"select user_id job_id, event_id seq, {ACTION} \"action\", {STATUS} status, coalesce(lag({STATUS}) over (partition by user_id order by event_id), 'new') was from events")
+def job_history(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.running_status(job_events(spark, d))
+
+
+@query("""select user_id job_id, case when event_id % 3 = 0 then 'stage' else 'section' end event_type, (event_id % 7)::int number, case when event_id % 3 > 0 then 9 end::int total, event_type title from events where event_id % 4 > 0""")
+def progress_parse(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    n = (e % 7).cast("string")
+    line = F.when(e % 4 == 0, F.col("event_type")).when(e % 3 == 0, F.concat(F.lit("Stage "), n, F.lit(": "), "event_type")).when(e % 3 == 1, F.concat(F.lit("["), n, F.lit("/9] "), "event_type")).otherwise(F.concat(F.lit("  "), n, F.lit("/9: "), "event_type"))
+    return jobs.progress_events(table(spark, d, "events").select(F.col("user_id").alias("job_id"), line.alias("line")))
+
+
+@query(r"""select lang, source, count(*) docs, sum(length(text) - length(replace(text, chr(10), '')))::bigint breaks, sum(len(regexp_extract_all(text, '\*\*')))::bigint bold, sum(len(regexp_extract_all(text, 'https?://')))::bigint urls from documents group by 1, 2""")
+def residue_metrics(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda p, name: F.sum(F.regexp_count("text", F.lit(p))).alias(name)
+    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("docs"), n(r"\n", "breaks"), n(r"\*\*", "bold"), n("https?://", "urls"))
+
+
+@query("select l_returnflag, l_linestatus, sum(l_quantity) sum_qty, count(*) n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2")
+def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").where("l_shipdate <= timestamp'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"))
+
+
+@query()
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return web.pages_to_markdown(table(spark, d, "pages"))
+
+
+@query()
+def narration_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.blocks(table(spark, d, "documents"))
+
+
+@query()
+def narration_text(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.narrations(table(spark, d, "documents"))
+
+
+@query()
+def spoken_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", fn.spoken("text").alias("text"))
+
+
+@query()
+def rolling_dialogue(spark: SparkSession, d: str) -> DataFrame:
+    return dialogue.rolled(md_sections(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
