@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SPACE = re.compile(r"\s+")
+
 
 def source_kind(value: Column, content_type: Column) -> Column:
     """pdf or url; not http(s) is a local pdf; a failed or missing content type makes it a web page."""
@@ -66,12 +69,10 @@ class _Markdown(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            self.parts.append(" ".join(data.split()) if not data.isspace() else " ")
+            self.parts.append(SPACE.sub(" ", data))
 
 
 def page_markdown(html: str) -> str:
-    import re
-
     p = _Markdown()
     p.feed(html)
     t = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(p.parts))
