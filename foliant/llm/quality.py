@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import byte_texts, slices
 
 #: Labelled rows of each class that are used at most: those with the smallest hash of their id.
-SAMPLE = 1500
+SAMPLE = 1000
 #: A document is kept if its calibrated probability of being good is at least this.
 KEEP = 0.35
 BITS = 16
