@@ -78,8 +78,8 @@ def cut(docs: DataFrame, path: str, size: int = 2048, end: int = 0, key: str = "
 
 def fullest(have: dict[int, int], room: int) -> list[int]:
     """Lengths (with repeats, within the counts in have) whose sum is the largest that is at most room. Bitset subset-sum: bit s of
-    reach[i] says that the first i lengths can sum to s; longer lengths come last, so they are taken first on the way back."""
-    lengths = sorted(x for x in have if x <= room and have[x])
+    reach[i] says that the first i lengths can sum to s; the longest come first, and shorter ones are taken only where those don't do."""
+    lengths = sorted((x for x in have if x <= room and have[x]), reverse=True)
     mask, reach = (1 << (room + 1)) - 1, [1]
     used: list[tuple[int, int]] = []
     for x in lengths:
@@ -91,7 +91,7 @@ def fullest(have: dict[int, int], room: int) -> list[int]:
             reach.append((reach[-1] | reach[-1] << (x * n)) & mask)
             left -= n
             take *= 2
-        if reach[-1] >> room & 1:  # full already; longer ones could only change which lengths make it up
+        if reach[-1] >> room & 1:  # full already, and shorter ones are better kept
             break
     s, out = reach[-1].bit_length() - 1, []
     for i in range(len(used), 0, -1):
