@@ -195,9 +195,14 @@ def test_packing():
             for x in lengths:
                 used[x] = used.get(x, 0) + times
         assert used == counts
-        # no packing has fewer sequences than tokens fill, or than there are pieces over half a sequence
-        least = max(-(-sum(n * c for n, c in counts.items()) // 64), sum(c for n, c in counts.items() if n > 32))
-        assert sum(t for _, t in sequences) <= 1.05 * least + 1
+        room = []  # best-fit decreasing, piece by piece
+        for x in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+            fit = min((i for i, y in enumerate(room) if y >= x), key=lambda i: room[i], default=None)
+            if fit is None:
+                room.append(64 - x)
+            else:
+                room[fit] -= x
+        assert sum(t for _, t in sequences) <= len(room)
     assert sum(packing.fullest({30: 5, 20: 2, 7: 3}, 64)) == 64
 
 
