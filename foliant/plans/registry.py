@@ -210,8 +210,7 @@ def md_sections(spark: SparkSession, d: str) -> DataFrame:
     return g.where(F.size("b") > 0).select("doc_id", "section_idx", F.coalesce("title", F.lit("Introduction")).alias("title"), F.array_join(F.transform("b", lambda x: x["line"]), "\n").alias("content"))
 
 
-@query(r"""select doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::bigint line_idx from documents qualify false union all
-select doc_id, i line_idx from (select doc_id, unnest(string_split(text, chr(10))) line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::bigint i from documents) where regexp_matches(trim(line), '(?i)copyright|©|creative commons|this work is licensed|permission to make|[a-z.]+@[a-z.]+\.[a-z]{2,}')""")
+@query(r"""select doc_id, i line_idx from (select doc_id, unnest(string_split(text, chr(10))) line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::bigint i from documents) where regexp_matches(trim(line), '(?i)copyright|©|creative commons|this work is licensed|permission to make|[a-z.]+@[a-z.]+\.[a-z]{2,}')""")
 def metadata_lines(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     return l.where(F.trim("line").rlike(r"(?i)copyright|©|creative commons|this work is licensed|permission to make|[a-z.]+@[a-z.]+\.[a-z]{2,}")).select("doc_id", F.col("i").cast("long").alias("line_idx"))
