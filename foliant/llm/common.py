@@ -75,10 +75,47 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti")
 
 
+#: Edges that one task takes at once when it contracts them (16 bytes each).
+EDGES = 1_000_000
+
+
+def forests(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) contracted within each partition, EDGES at a time, to stars (a, b): b is the smallest id that they reach from a. They
+    connect what edges connect; equal edges and loops vanish."""
+
+    def contracted(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b, top = at[: len(a)], at[len(a) :], np.arange(len(ids))
+        while len(a):
+            x, y = top[a], top[b]
+            np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+            while (top[top] != top).any():
+                top = top[top]
+            open_ = top[a] != top[b]
+            a, b = a[open_], b[open_]
+        low = np.flatnonzero(top != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[low]), pa.array(ids[top[low]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append((b.column("a").to_numpy(), b.column("b").to_numpy()))
+            n += len(b)
+            if n >= EDGES:
+                yield contracted(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if held:
+            yield contracted(*map(np.concatenate, zip(*held, strict=True)))
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b), as (id, label), label the smallest id that links reach. Large-star and
-    small-star rounds over the edge table, which is written to the shared folder after each; nothing is collected.
-    Stars are formed by minimum aggregates and equi-joins, so a hot vertex is pre-aggregated and its join can be split."""
+    """Connected components of edges (a, b), as (id, label), label the smallest id that links reach; smallest ids themselves and ids
+    without edges aren't listed. Partitions contract their edges to stars, and as long as that at least halves them they are contracted
+    again in fewer partitions of EDGES each. If one is enough, its stars are the components. Else large-star and small-star rounds follow,
+    by minimum aggregates and equi-joins, so a hot vertex is pre-aggregated and its join can be split. The edge table is written to the
+    shared folder after each round; nothing is collected."""
 
     def star(e: DataFrame, small: bool) -> DataFrame:
         both = e if small else e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -90,7 +127,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             out = j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return out.where("a <> b").distinct()
 
-    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    e, before = stored(forests(edges), "edges"), None
+    n = e.count()
+    while before is None or 2 * n <= before:
+        parts = n // EDGES + 1
+        e, before = stored(forests(e.coalesce(parts)), "edges"), n
+        if parts == 1:
+            return e.select(F.col("a").alias("id"), F.col("b").alias("label"))
+        n = e.count()
     mark = None
     for _ in range(rounds):
         e = stored(star(star(e, False), True), "edges")

@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("foliant.llm.entry")
 import public_tokenizers as P  # noqa: E402
 
-from foliant.llm import jaccard, language, licenses, media, packing, pieces, pii, quality, substring, tokens, webp  # noqa: E402
+from foliant.llm import common, jaccard, language, licenses, media, packing, pieces, pii, quality, substring, tokens, webp  # noqa: E402
 
 EDGE = [(1, None, "x"), (2, "", "x"), (3, " \n\t", "x"), (4, "a", "x"), (4, "a", "x"), (5, "word " * 60_000, "x"), (6, "é日本 ½ \U0001f600", None), (None, "no id here", "x")]
 SCHEMA = "doc_id long, text string, n_words string"  # an extra column whose name a result has too
@@ -93,6 +93,20 @@ def test_jaccard(spark, monkeypatch, frequent):
     assert got == {d: (len(sets[d]), top(d)) for d in sets}
 
 
+@pytest.mark.parametrize("most", [7, 1_000_000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "EDGES", most)  # a few edges a task: star rounds; many: one contraction
+    r = random.Random(most)
+    edges = [(r.randrange(-90, 90), r.randrange(-90, 90)) for _ in range(60)] + [(i, i + 1) for i in range(200, 240)] + [(5, 5), (300, 301), (300, 301)]
+    top = {x: x for e in edges for x in e}
+    for _ in top:
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    got = common.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted((k, v) for k, v in top.items() if k != v)
+    assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_combinations_find_every_pair():
     r = np.random.default_rng(4)
     for n in (5, 12, 60, 200):
