@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fn
-from foliant.operators import blocks, dialogue, toc
+from foliant.operators import assembly, blocks, dialogue, toc
 from foliant.sources import pages as web
+from foliant.sources import store
 from foliant.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,6 +279,63 @@ def rolling_dialogue(spark: SparkSession, d: str) -> DataFrame:
     return dialogue.rolled(md_sections(spark, d))
 
 
+def rendered(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 1000 * 240).cast("long").alias("samples"))
+
+
+RENDERED = "select o_custkey, o_orderkey, (o_orderkey % 1000 * 240)::bigint samples from orders"
+
+
+@query(f"select *, coalesce(sum(samples + 48000) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding), 0)::bigint begins from ({RENDERED})")
+def assembly_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return assembly.assembled(rendered(spark, d), "o_custkey", "o_orderkey")
+
+
+@query(f"select o_custkey, count(*) n_sections, (sum(samples) + (count(*) - 1) * 36000)::bigint samples, (sum(samples) + (count(*) - 1) * 36000)::bigint // 24000 AS "seconds" from ({RENDERED}) group by 1")
+def assembly_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return assembly.lengths(rendered(spark, d), "o_custkey", "podcast")
+
+
+NAMES = "case l_partkey % 7 when 0 then 'audiobook.wav' when 1 then 'podcast.wav' when 2 then 'podcast_partial.wav' else 'log.txt' end"
+
+
+@query(f"""select l_orderkey, case when bool_or({NAMES} = 'audiobook.wav') then 'audiobook.wav' when bool_or({NAMES} = 'podcast.wav') then 'podcast.wav' when bool_or({NAMES} = 'podcast_partial.wav') then 'podcast_partial.wav' end final_name from lineitem group by 1""")
+def final_files(spark: SparkSession, d: str) -> DataFrame:
+    return assembly.final_file(table(spark, d, "lineitem").select("l_orderkey", F.expr(NAMES).alias("name")), "l_orderkey")
+
+
+@query("""select doc_id, case lang when 'fr' then 'ff_siwis' when 'es' then 'ef_dora' else 'af_heart' end voice_1, case lang when 'fr' then 'ff_siwis' when 'es' then 'em_alex' else 'am_michael' end voice_2,
+ 0.95::double speed_1, case lang when 'fr' then 0.95::double * 1.08::double else 0.95::double end speed_2, case lang when 'fr' then 'fr' when 'es' then 'es' else 'en' end voice_lang from documents""")
+def voice_table(spark: SparkSession, d: str) -> DataFrame:
+    known = F.when(F.col("lang").isin(*assembly.VOICES), F.col("lang"))
+    v = assembly.voices(known, F.lit(0.95))
+    return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in v.items()], assembly.language_of(v["voice_1"]).alias("voice_lang"))
+
+
+@query(rf"""with p as (select conv_id, role, {WORDS.format('text')} n, last_value(case when role in ('user', 'assistant') then role end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) speaker from conversations)
+, t as (select conv_id, sum(case when role in ('user', 'assistant') then n + 1 else 1 end)::bigint words, count(*) filter (role not in ('user', 'assistant')) pauses, (count(*) % 5)::double secs,
+ coalesce(sum(case when role in ('user', 'assistant') then n else 1 end) filter (speaker = 'user'), 0) s1, coalesce(sum(case when role in ('user', 'assistant') then n else 1 end) filter (speaker = 'assistant'), 0) s2 from p group by 1)
+, m as (select conv_id // 2 pair, conv_id % 2 side, words, pauses, case when secs > 0 then words / secs end rate, case when greatest(s1, s2) > 0 then least(s1, s2)::double / greatest(s1, s2) end balance from t)
+select pair, max(words) filter (side = 0) words_a, max(words) filter (side = 1) words_b, max(pauses) filter (side = 0) pauses_a, max(pauses) filter (side = 1) pauses_b, max(rate) filter (side = 0) rate_a, max(rate) filter (side = 1) rate_b,
+ max(balance) filter (side = 0) balance_a, max(balance) filter (side = 1) balance_b from m group by 1""")
+def run_comparison(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg((F.count("*") % 5).alias("secs"))
+    runs = scripts(spark, d).join(turns, "conv_id").select(F.expr("conv_id div 2").alias("pair"), F.expr("if(conv_id % 2 = 0, 'A', 'B')").alias("run"), "dialogue", "secs")
+    return assembly.compared(runs, "pair", "run", "dialogue", "secs")
+
+
+@query("""select conv_id, turn, to_json({'rolling_summary': text, 'covered_topics': [role, 'turn ' || turn]}) state, role first_topic from conversations""")
+def rolling_state(spark: SparkSession, d: str) -> DataFrame:
+    state = store.state_json(F.col("text"), F.array("role", F.concat(F.lit("turn "), F.col("turn").cast("string"))))
+    t = table(spark, d, "conversations").select("conv_id", "turn", state.alias("state"))
+    return t.withColumn("first_topic", store.state_of(F.col("state"))["covered_topics"][0])
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y%m%d_%H%M%S') run_name from orders")
+def run_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", store.run_name(F.col("o_orderdate")).alias("run_name"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
