@@ -291,7 +291,7 @@ def assembly_offsets(spark: SparkSession, d: str) -> DataFrame:
     return assembly.assembled(rendered(spark, d), "o_custkey", "o_orderkey")
 
 
-@query(f"select o_custkey, count(*) n_sections, (sum(samples) + (count(*) - 1) * 36000)::bigint samples, (sum(samples) + (count(*) - 1) * 36000)::bigint // 24000 AS "seconds" from ({RENDERED}) group by 1")
+@query(f"select o_custkey, count(*) n_sections, (sum(samples) + (count(*) - 1) * 36000)::bigint samples, (sum(samples) + (count(*) - 1) * 36000)::bigint // 24000 as \"seconds\" from ({RENDERED}) group by 1")
 def assembly_lengths(spark: SparkSession, d: str) -> DataFrame:
     return assembly.lengths(rendered(spark, d), "o_custkey", "podcast")
 
