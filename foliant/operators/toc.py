@@ -26,14 +26,22 @@ def ranges(entries: DataFrame, totals: DataFrame) -> DataFrame:
     return totals.join(at, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit(0)).cast("long").alias("start_page"), F.coalesce(F.col("b") - 1, F.col("total_pages") - 1).cast("long").alias("end_page"))
 
 
-def sections(entries: DataFrame, within: DataFrame, max_level: int = 2) -> DataFrame:
+def eligible_sections(entries: DataFrame, within: DataFrame, max_level: int = 2, last_to_end: bool = True) -> DataFrame:
     """doc_id, section_idx, title, level, start_page, end_page: eligible entries up to the next one's page; a parent that shares its page
-    with a deeper next entry is skipped."""
+    with a deeper next entry is skipped. The last one ends with the range; without last_to_end, on its own start page."""
     w = Window.partitionBy("doc_id").orderBy("ord")
     e = entries.withColumn("kind", kind(F.col("title"))).join(within, "doc_id").where((F.col("level") <= max_level) & F.col("kind").isin("preamble", "content") & F.col("page").between(F.col("start_page"), F.col("end_page")))
     e = e.withColumn("np", F.lead("page").over(w)).withColumn("nl", F.lead("level").over(w))
     e = e.where(~F.coalesce((F.col("np") == F.col("page")) & (F.col("nl") > F.col("level")), F.lit(False)))
-    return e.select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("section_idx"), "title", F.col("level").cast("long").alias("level"), F.col("page").cast("long").alias("start_page"), F.coalesce(F.greatest("page", F.col("np") - 1), "end_page").cast("long").alias("end_page"))
+    end = F.when(F.col("np").isNull(), F.col("end_page" if last_to_end else "page")).otherwise(F.greatest("page", F.col("np") - 1))
+    return e.select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("section_idx"), "title", F.col("level").cast("long").alias("level"), F.col("page").cast("long").alias("start_page"), end.cast("long").alias("end_page"))
+
+
+def sections(entries: DataFrame, within: DataFrame, max_level: int = 2) -> DataFrame:
+    """The sections of every document of within: its eligible ones, or one "Full Document" over its range where nothing is eligible."""
+    some = eligible_sections(entries, within, max_level)
+    whole = within.join(some.select("doc_id").distinct(), "doc_id", "left_anti")
+    return some.unionByName(whole.select("doc_id", F.lit(0).cast("long").alias("section_idx"), F.lit("Full Document").alias("title"), F.lit(1).cast("long").alias("level"), "start_page", "end_page"))
 
 
 def page_tokens(secs: DataFrame, pages: DataFrame) -> DataFrame:

@@ -129,6 +129,17 @@ SECTIONS = RANGES + """, q as (select e.*, start_page s, end_page n from e join
 
 @query(SECTIONS + " select * from secs")
 def toc_sections(spark: SparkSession, d: str) -> DataFrame:
+    """As its SQL has it: eligible sections only, the last of a document cut at its start page (greatest() passes nulls over there).
+    toc_whole_sections has all documents and whole ranges."""
+    return toc.eligible_sections(entries(spark, d), content_ranges(spark, d), last_to_end=False)
+
+
+WHOLE = SECTIONS + """, ends as (select doc_id, row_number() over (partition by doc_id order by ord) - 1 section_idx, title, level, page start_page, case when np is null then n else greatest(page, np - 1) end::bigint end_page from w where not coalesce(np = page and nl > level, false)),
+ whole as (select * from ends union all select doc_id, 0, 'Full Document', 1, start_page, end_page from r anti join ends using (doc_id))"""
+
+
+@query(WHOLE + " select * from whole")
+def toc_whole_sections(spark: SparkSession, d: str) -> DataFrame:
     return toc.sections(entries(spark, d), content_ranges(spark, d))
 
 
@@ -145,6 +156,11 @@ def toc_tokens(spark: SparkSession, d: str) -> DataFrame:
     return toc.page_tokens(toc_sections(spark, d), page_text(spark, d))
 
 
+@query(WHOLE + f" select s.*, coalesce((select sum((p.doc_id * 31 + p.page * 17) % 4000) from {PAGES} p where p.doc_id = s.doc_id and p.page between s.start_page and s.end_page), 0)::bigint // 4 tokens from whole s")
+def toc_whole_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return toc.page_tokens(toc_whole_sections(spark, d), page_text(spark, d))
+
+
 @query()
 def page_packing(spark: SparkSession, d: str) -> DataFrame:
     return toc.packed_pages(page_text(spark, d), 20305)
