@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import jaccard, packing, pii, quality, substring
-from foliant.llm.common import shared_dir, stored, without
+from foliant.llm.common import shared_dir, stored
 from foliant.llm.entry import tokenizer_path
 from foliant.llm.substring import NULL_ID
 
@@ -30,23 +30,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, the one of the smallest id. Of rows that repeat an id one is kept. The ids that go, and those
-    that repeat, are few as a rule: they are broadcast up to a checked number, so the texts needn't be dealt anew."""
-    classes = stored(jaccard.classes(docs.select("doc_id", "text")), "classes")
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = without(docs, gone, "doc_id")
-    twice = classes.groupBy("doc_id").count().where("count > 1").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"))
-    if twice.isEmpty():
-        return kept
-    keyed = kept.withColumn("__id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    one = keyed.join(twice, "__id", "left_semi").dropDuplicates(["__id"])
-    return keyed.join(twice, "__id", "left_anti").unionByName(one).select(*docs.columns)
+    """Keeps one row of each group of near copies, that of the smallest id. Rows of other texts stay even if their ids are equal or
+    null; so do null and empty texts."""
+    return jaccard.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts. Texts that lose nothing stay byte for byte; those that do keep their words, parted by
-    single spaces. No document goes."""
-    return _with_length(substring.removed(docs), docs.columns)
+    single spaces. No document goes. Rows that share an id (null ones too) are documents of their own: they come before all others."""
+    again = stored(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__shared"), F.lit(True).alias("__again")), "again")
+    if again.isEmpty():
+        return _with_length(substring.removed(docs), docs.columns)
+    own = F.when(F.col("__again"), F.lit(NULL_ID + 1) + F.monotonically_increasing_id()).otherwise(F.col("doc_id").cast("long"))
+    keyed = stored(docs.join(again, F.col("doc_id").eqNullSafe(F.col("__shared")), "left").withColumn("__own", own).drop("__shared", "__again"), "keyed")
+    out = substring.removed(keyed.withColumnsRenamed({"doc_id": "__was", "__own": "doc_id"}))
+    return _with_length(out.drop("doc_id").withColumnRenamed("__was", "doc_id"), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

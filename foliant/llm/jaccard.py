@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, n_buckets, slices, stored
+from .common import BROADCAST_IDS, components, n_buckets, slices, stored
 from .runs import cuts, packed, unpacked
 from .wordstream import LOWERED, Words, mix
 
@@ -282,16 +282,49 @@ def links(docs: DataFrame) -> DataFrame:
     return stored(found.unionByName(verified(pairs.join(either, ["a", "b"], "left_anti"), sets)), "links")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) of every row of docs (doc_id, text).
-    Null and empty texts and texts without words: an empty set, linked with nothing. Rows that repeat are linked. A null doc_id is
-    ignored as a label unless no linked row has one. Fewer than five words count as one token. Empty table: no rows."""
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, sign of every row, and of the signatures that other rows share or link with: sign, component_id and whether
+    it is the one that stays of its component (that of the smallest id; ids that are null come last)."""
     rows = stored(signatures(docs), "signatures")
     heads = rows.where("sign <> 0").groupBy("sign").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
     label = components(links(docs))
     of = heads.join(label.withColumnRenamed("id", "sign"), "sign", "left").withColumn("label", F.coalesce("label", "sign"))
     linked = stored(of.where("copies > 1 or label <> sign").unionByName(of.join(label.select("label").distinct(), "label", "left_semi").where("copies = 1 and label = sign").select(*of.columns)), "linked")
-    best = linked.groupBy("label").agg(F.min("head").alias("component_id"))
-    known = linked.select("sign", "label").join(best, "label").select("sign", "component_id")
-    out = rows.join(known, "sign", "left")
+    best = linked.groupBy("label").agg(F.min(F.struct(F.col("head").isNull().alias("none"), "head", "sign")).alias("best"))
+    return rows, linked.select("sign", "label").join(best, "label").select("sign", F.col("best.head").alias("component_id"), (F.col("sign") == F.col("best.sign")).alias("stays"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) of every row of docs (doc_id, text).
+    Null and empty texts and texts without words: an empty set, linked with nothing. Rows that repeat are linked. A null doc_id is
+    ignored as a label unless no linked row has one. Fewer than five words count as one token. Empty table: no rows."""
+    rows, known = linked_sets(docs)
+    out = rows.join(known.select("sign", "component_id"), "sign", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """docs with the signature of each row's text as __sign."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(Sets(b.column("text")).sign.view(np.int64))], [*b.schema.names, "__sign"])
+
+    kinds = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns] + ["__sign long"])
+    return docs.mapInArrow(run, kinds)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near copies: one row of each component, of the smallest id (an id that is null comes last), and all rows
+    linked with nothing, whatever ids they share. What is known of signatures is broadcast up to a checked number."""
+    rows, known = linked_sets(docs.select("doc_id", "text"))
+    known = stored(known.select(F.col("sign").alias("__sign"), F.col("component_id").alias("__first"), F.col("stays").alias("__stays")), "known")
+    few = (lambda df: F.broadcast(df)) if known.count() <= BROADCAST_IDS else (lambda df: df)
+    # of a component, the rows of the set that stays and of its smallest id: equal sets, so any of them does
+    kept = signed(docs).join(few(known), "__sign", "left").where("__stays is null or (__stays and doc_id <=> __first)")
+    twice = rows.withColumnRenamed("sign", "__sign").join(few(known.where("__stays")), "__sign").where("doc_id <=> __first").groupBy("__sign").count().where("count > 1").select("__sign")
+    twice = stored(twice, "twice")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    one = kept.join(few(twice), "__sign", "left_semi").dropDuplicates(["__sign"])
+    return kept.join(few(twice), "__sign", "left_anti").unionByName(one).select(*docs.columns)
