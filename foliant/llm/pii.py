@@ -30,12 +30,21 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: High-recall generators of the method, by kind.
+#: High-recall generators of the method, by kind; secrets have their own, see secrets().
 PROPOSE = {
-    "secret": re.compile(r"[A-Za-z0-9_\-+/=]{16,}"), "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", re.A), "national": re.compile(r"(?<![0-9.+-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"),
+    "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", re.A), "national": re.compile(r"(?<![0-9.+-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"),
     "mac": re.compile(r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b", re.A), "phone": re.compile(r"(?<![0-9.+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.])"),
 }
-CUES = re.compile(r"token|secret|password|passwd|api[_ -]?key|bearer|key|ssn|social|iban|account|phone|tel|call|fax|mobile|mac\b|contact", re.I)
+SECRET = re.compile(r"[A-Za-z0-9_\-+/=]{16,}")
+#: In key=value the value is a candidate of its own; '=' at the end is padding.
+ASSIGN = re.compile(r"=+(?=[^=])")
+SECRET_CUES = re.compile(r"token|secret|passw(?:or)?d|passphrase|passcode|api[_ -]?key|bearer|key", re.I)
+#: One of these is in every text that has a cue.
+CUE_PARTS = ("token", "secret", "passw", "passphrase", "passcode", "bearer", "key")
+#: A quoted value right after a cue may hold any characters.
+QUOTED = re.compile(r"(?:token|secret|passw(?:or)?d|passphrase|passcode|api[_ -]?key)[\"']?\s*[:=]\s*([\"'])([^\"'\n]{8,})\1", re.I)
+LEAST, LEAST_CUED = 16, 8
+CUES = re.compile(r"token|secret|password|passwd|passphrase|passcode|api[_ -]?key|bearer|key|ssn|social|iban|account|phone|tel|call|fax|mobile|mac\b|contact", re.I)
 AGAINST = re.compile(r"version|sha|commit|md5|hash|order|invoice|isbn|page|checksum|total|price|date|build", re.I)
 #: A proposed span is redacted if its calibrated probability is at least this.
 THRESHOLD = {"secret": 0.7, "iban": 0.7, "national": 0.7, "mac": 0.7, "phone": 0.7}
@@ -83,11 +92,29 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def secrets(t: str, digit: bool, cue: bool) -> Iterator[tuple[int, int]]:
+    """Runs of key characters, parted after '=', that hold a digit or follow a cue. Values of key=value and quoted values may be shorter
+    where the cue is their key."""
+    for m in SECRET.finditer(t):
+        a = m.start()
+        for b, after in [*(x.span() for x in ASSIGN.finditer(m[0])), (len(m[0]), len(m[0]))]:
+            b += m.start()
+            cued = cue and SECRET_CUES.search(t, max(0, a - CONTEXT), a) is not None
+            if b - a >= (LEAST_CUED if cued and a > m.start() else LEAST) and (cued or (digit and DIGIT.search(t, a, b))):
+                yield a, b
+            a = m.start() + after
+    if cue:
+        yield from (m.span(2) for m in QUOTED.finditer(t))
+
+
 def proposals(t: str) -> list[tuple[str, int, int]]:
-    """Overlapping candidates of the method. Every generator needs a digit; most texts have none."""
-    if not DIGIT.search(t):
-        return []
-    return [(k, *m.span()) for k, r in PROPOSE.items() for m in r.finditer(t) if k != "secret" or DIGIT.search(m[0])]
+    """Overlapping candidates of the method. Hardware addresses and secrets after a cue need no digit, the other generators do."""
+    digit, low = DIGIT.search(t) is not None, t.lower()
+    cue = any(c in low for c in CUE_PARTS)
+    out = [("secret", *s) for s in dict.fromkeys(secrets(t, digit, cue))] if digit or cue else []
+    if t.count(":") + t.count("-") > 4:
+        out += [("mac", *m.span()) for m in PROPOSE["mac"].finditer(t)]
+    return out + [(k, *m.span()) for k, r in PROPOSE.items() if k != "mac" and digit for m in r.finditer(t)]
 
 
 def iban_ok(s: str) -> bool:
@@ -109,11 +136,13 @@ def features(t: str, kind: str, a: int, b: int) -> list[float]:
 
 
 def invented(rows: int, seed: int = 7) -> list[tuple[str, str, int, int, int]]:
-    """(text, kind, start, end, personal or secret?) of made-up contexts."""
+    """(text, kind, start, end, personal or secret?) of made-up contexts; the spans are those that proposals() finds there."""
     r = random.Random(seed)
     syl = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "ció", "que", "en", "ich", "la", "de", "ung", "eau"]
     word = lambda: "".join(r.choice(syl) for _ in range(r.randint(1, 4)))
     pick = lambda cs, n: "".join(r.choice(cs) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    long_word = lambda sep: sep.join(word() + word() for _ in range(r.randint(2, 5) if sep else r.randint(1, 3))).replace("ció", "cio").ljust(16, "e")
     hexa, alnum, dig = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789"
     out = []
 
@@ -122,9 +151,11 @@ def invented(rows: int, seed: int = 7) -> list[tuple[str, str, int, int, int]]:
         c = 98 - int(body + "1314" + "00") % 97
         return f"DE{c:02d}{body}"
 
+    assigned = ["password: ", "password=", "secret=", "secret: ", "token = ", "token: ", "api_key=", "passwd = ", "passphrase: ", "key = "]
+    phrased = ['password: "', 'passphrase = "', "secret: '", 'password="']
     while len(out) < rows:
-        case = r.randrange(11)
-        cue, none, bad = r.choice(["token = ", "api_key: ", "secret=", "password: ", "bearer ", "key = "]), "", r.choice(["sha ", "commit ", "order ", "checksum ", "invoice ", "version "])
+        case = r.randrange(17)
+        cue, none, bad = r.choice(["token = ", "api_key: ", "secret=", "password: ", "bearer ", "key = ", "password=", "api_key=", "token="]), "", r.choice(["sha ", "commit ", "order ", "checksum ", "invoice ", "version "])
         quote = r.choice(["", '"'])
         phone = f"{r.choice(['(', ''])}" + pick(dig, 3)
         phone = (phone + ")" if phone[0] == "(" else phone) + r.choice([" ", "-", "."]) + pick(dig, 3) + r.choice(["-", " ", "."]) + pick(dig, 4)
@@ -132,10 +163,17 @@ def invented(rows: int, seed: int = 7) -> list[tuple[str, str, int, int, int]]:
             ("secret", cue, pick(hexa, r.choice([24, 32, 40, 64])), 1), ("secret", cue, pick(alnum, r.randint(18, 44)) + "7", 1), ("secret", bad, pick(hexa, r.choice([32, 40, 64])), 0), ("secret", none, pick(dig, r.randint(16, 24)), 0),
             ("iban", r.choice(["iban ", "account ", none]), iban(), 1), ("iban", bad, "AB" + pick(dig, 2) + pick(dig, 16), 0), ("national", r.choice(["ssn ", "social security ", "ssn: "]), f"{pick(dig, 3)}-{pick(dig, 2)}-{pick(dig, 4)}", 1),
             ("national", bad, f"{pick(dig, 3)}-{pick(dig, 2)}-{pick(dig, 4)}", 0), ("mac", r.choice(["mac ", none]), ":".join(pick(hexa, 2) for _ in range(6)), 1), ("phone", r.choice(["phone ", "call ", "tel: ", "mobile "]), phone, 1), ("phone", r.choice([bad, none]), f"{pick(dig, 3)} {pick(dig, 3)} {pick(dig, 3)}", 0),
+            ("secret", r.choice(assigned), pick(letters, r.randint(16, 40)), 1), ("secret", r.choice(assigned), "".join(word().capitalize() for _ in range(9)).replace("ó", "o").ljust(16, "X"), 1), ("secret", r.choice(phrased), " ".join(word() for _ in range(r.randint(3, 6))).ljust(8, "e"), 1),
+            ("secret", r.choice(["the key ", "a secret ", "token of ", "key ", "keys to ", "bearer of ", "password for "]), long_word(r.choice(["", "-", "/", "_"])), 0), ("secret", r.choice(["sorted ", "see ", "v=", "id=", "page=", "sha="]), pick(hexa, 32), 0), ("mac", r.choice(["mac ", none]), r.choice([":", "-"]).join(r.choice([pick(x, 2), pick(x, 1) * 2]) for x in [r.choice(["abcdef", "ABCDEF"])] * 6), 1),
         ][case]
-        head = " ".join(word() for _ in range(r.randint(2, 8))) + " " + lead + (quote if lead.endswith(("= ", "=", ": ")) else "")
-        t = head + s + (quote if head.endswith('"') else "") + " " + " ".join(word() for _ in range(r.randint(2, 8)))
-        out.append((t, kind, len(head), len(head) + len(s), y))
+        shut = lead[-1:] if lead in phrased else ""
+        head = " ".join(word() for _ in range(r.randint(2, 8))) + " " + lead
+        if not shut and lead.endswith(("= ", "=", ": ")):
+            shut = quote
+            head += quote
+        t = head + s + shut + " " + " ".join(word() for _ in range(r.randint(2, 8)))
+        found = [(a, b) for k, a, b in proposals(t) if k == kind and a < len(head) + len(s) and len(head) < b]
+        out += [(t, kind, a, b, y) for a, b in found[:1]]
     return out
 
 
@@ -188,7 +226,7 @@ def personal(docs: DataFrame, replace: bool = False, text: str = "text") -> Data
         for b in slices(batches, text):
             rows = []
             for t in b.column(text).to_pylist():
-                if not t or not ("@" in t or DIGIT.search(t)):
+                if not t:
                     rows.append((none[0], t))
                     continue
                 base = base_spans(t)
