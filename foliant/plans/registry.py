@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fn
@@ -66,12 +66,25 @@ def timeline_offsets(spark: SparkSession, d: str) -> DataFrame:
     return dialogue.timeline(dialogue.turns(scripts(spark, d), "conv_id"), "conv_id").drop("text")
 
 
+def text_stats(docs: DataFrame, seconds: Column) -> DataFrame:
+    t = F.col("text")
+    words, tokens = fn.word_count(t), fn.token_estimate(t)
+    return docs.select("doc_id", words.alias("n_words"), F.length("text").cast("long").alias("n_chars"), tokens.alias("n_tokens"), F.floor(words / 150).cast("long").alias("target_minutes"), F.bround(100 * tokens / 20305, 0).cast("long").alias("percent"), fn.duration(seconds).alias("spoken"), fn.safe_name(F.substring("text", 1, 60)).alias("file_name"))
+
+
 @query(rf"""select doc_id, {WORDS.format('text')}::bigint n_words, length(text)::bigint n_chars, (length(text) // 4)::bigint n_tokens, ({WORDS.format('text')} // 150)::bigint target_minutes, round_even(100.0 * (length(text) // 4) / 20305, 0)::bigint percent,
  lpad(((length(text) // 10) // 3600)::varchar, 2, '0') || ':' || lpad((((length(text) // 10) % 3600) // 60)::varchar, 2, '0') || ':' || lpad(((length(text) // 10) % 60)::varchar, 2, '0') spoken, left(replace(replace(left(text, 60), '/', '-'), ' ', '_'), 50) file_name from documents where length(text) >= 10""")
 def word_stats(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    words, tokens = fn.word_count(t), fn.token_estimate(t)
-    return table(spark, d, "documents").where(F.length("text") >= 10).select("doc_id", words.alias("n_words"), F.length("text").cast("long").alias("n_chars"), tokens.alias("n_tokens"), F.floor(words / 150).cast("long").alias("target_minutes"), F.bround(100 * tokens / 20305, 0).cast("long").alias("percent"), fn.duration(F.floor(F.length("text") / 10)).alias("spoken"), fn.safe_name(F.substring("text", 1, 60)).alias("file_name"))
+    """Texts of ten characters or more, as its SQL has it; document_stats has all."""
+    return text_stats(table(spark, d, "documents").where(F.length("text") >= 10), F.floor(F.length("text") / 10))
+
+
+@query(rf"""select doc_id, {WORDS.format('text')}::bigint n_words, length(text)::bigint n_chars, (length(text) // 4)::bigint n_tokens, ({WORDS.format('text')} // 150)::bigint target_minutes, round_even(100.0 * (length(text) // 4) / 20305, 0)::bigint percent,
+ case when length(text) < 10 then '0.' || length(text) || '0s' else lpad(((length(text) // 10) // 3600)::varchar, 2, '0') || ':' || lpad((((length(text) // 10) % 3600) // 60)::varchar, 2, '0') || ':' || lpad(((length(text) // 10) % 60)::varchar, 2, '0') end spoken,
+ left(replace(replace(left(text, 60), '/', '-'), ' ', '_'), 50) file_name from documents""")
+def document_stats(spark: SparkSession, d: str) -> DataFrame:
+    """word_stats of every document: short texts last a fraction of a second, null texts have null figures."""
+    return text_stats(table(spark, d, "documents"), F.length("text") / 10)
 
 
 LINKS = "('https://github.com/a/b/blob/main/x/paper one.PDF', null), ('http://h.org/doc?id=3', 'application/pdf; x'), ('local/file.pdf', null), ('https://h.org/a%20b.pdf?x=1', 'text/html')"
