@@ -22,7 +22,7 @@ MORE = {
 }
 BASE_WEIGHT = {"cc-by": 0.9, "gpl": 0.9, "reserved": 0.6}
 TAG = "spdx license identifier"
-TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\n]*)", re.I)
+TAG_START = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*", re.I)
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:_-]+")
 #: Words: runs of bytes that are ASCII digits or letters, or not ASCII; ASCII letters are lower-cased.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -94,6 +94,45 @@ def alternatives(expression: str) -> list[frozenset[str]]:
     return stack[0]
 
 
+def names(tokens: list[str]) -> set[str]:
+    """All licences of an expression (with exceptions, as "x with y"). Nothing is expanded. Raises BadExpression as alternatives() does."""
+    stack: list[set[str]] = []
+    for t in postfix(tokens):
+        if t in RANK:
+            b, a = stack.pop(), stack.pop()
+            if t == "with" and len(a) + len(b) != 2:
+                raise BadExpression(t)
+            stack.append({f"{next(iter(a))} with {next(iter(b))}"} if t == "with" else a | b if len(a) < len(b) else b | a)
+        else:
+            stack.append({t.lower()})
+    return stack[0]
+
+
+def longest(t: str, at: int, end: int) -> list[str]:
+    """Tokens of the longest valid expression that starts at `at`, none if there isn't any. Stops where no more can follow."""
+    tokens, ends, deep, operand = [], [], 0, True
+    for m in TOKEN.finditer(t, at, end):
+        x = m[0].rstrip(".:-")
+        if not x or operand == (x == ")" or x.lower() in RANK):
+            break
+        deep += (x == "(") - (x == ")")
+        if deep < 0:
+            break
+        operand = x == "(" or x.lower() in RANK
+        tokens.append(x)
+        if not (operand or deep):
+            ends.append(len(tokens))
+    low, high = 0, len(ends)  # an exception of more than one licence spoils all that is longer
+    while low < high:
+        mid = (low + high + 1) // 2
+        try:
+            names(tokens[: ends[mid - 1]])
+            low = mid
+        except BadExpression:
+            high = mid - 1
+    return tokens[: ends[low - 1]] if low else []
+
+
 def family(name: str) -> str:
     """Label of a licence identifier: its family where known, else itself."""
     for start, label in (("cc-by", "cc-by"), ("cc0", "public-domain"), ("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("bsd", "bsd"), ("mpl", "mpl"), ("mit", "mit")):
@@ -134,14 +173,20 @@ def scan(t: bytes) -> dict:
     for x in base:
         labels[x] = max(BASE_WEIGHT[x], labels.get(x, 0))
     if tagged:
-        for m in TAG_LINE.finditer(t.decode("utf-8", "replace")):
-            try:
-                found = alternatives(m[1].strip().rstrip("*/#-> \t"))
-                expressions.append(" | ".join(" & ".join(sorted(s)) for s in found))
-                for name in sorted({n for s in found for n in s}):
-                    labels[family(name.split(" with ")[0])] = 0.99
-            except BadExpression:
+        text = t.decode("utf-8", "replace")
+        tags = [m.span() for m in TAG_START.finditer(text)]
+        for i, (_, at) in enumerate(tags):
+            line_end = text.find("\n", at)
+            tokens = longest(text, at, min(line_end if line_end >= 0 else len(text), tags[i + 1][0] if i + 1 < len(tags) else len(text)))
+            if not tokens:
                 labels["unparsed"] = max(0.3, labels.get("unparsed", 0))
+                continue
+            for name in sorted(names(tokens)):
+                labels[family(name.split(" with ")[0])] = 0.99
+            try:
+                expressions.append(" | ".join(" & ".join(sorted(s)) for s in alternatives(" ".join(tokens))))
+            except BadExpression:  # too many alternatives: as it is written
+                expressions.append(" ".join(tokens).lower())
     miss = 1.0
     for x in sorted(labels):
         miss *= 1 - labels[x]
