@@ -3,27 +3,41 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import word_count
+from foliant.functions.text import stripped, word_count
 
 SAMPLE_RATE = 24_000
 # Samples of each pause and of the gap after a spoken turn.
 PAUSES = {"[PAUSE_SHORT]": 12_000, "[PAUSE_MEDIUM]": 28_800, "[PAUSE_LONG]": 48_000}
 GAP = 7_200
-TOKEN = r"\[S1\]|\[S2\]|\[PAUSE_(?:SHORT|MEDIUM|LONG)\]|(?:(?!\[S1\]|\[S2\]|\[PAUSE_(?:SHORT|MEDIUM|LONG)\])[\s\S])+"
+MARKS = r"\[PAUSE_(?:SHORT|MEDIUM|LONG)\]"
+TAGS = r"\[S[12]\]|" + MARKS
+
+
+def pieces(text: Column, marks: str) -> Column:
+    """The marks in a text and what stands between them, in order. Divided at the places before and after a mark, so that texts of any
+    length are gone through in one loop."""
+    return F.split(text, rf"(?={marks})|(?<={marks})", -1)
 
 
 def turns(scripts: DataFrame, key: str = "doc_id", text: str = "dialogue") -> DataFrame:
     """key, turn_idx, tag (S1, S2, PAUSE), text: speaker tags set the speaker (S1 at first), blank pieces are dropped."""
-    t = scripts.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("i", "t"))
+    t = scripts.select(key, F.posexplode(pieces(F.col(text), TAGS)).alias("i", "t"))
     w = Window.partitionBy(key).orderBy("i")
     speaker = F.when(F.col("t") == "[S1]", "S1").when(F.col("t") == "[S2]", "S2")
     t = t.withColumn("speaker", F.coalesce(F.last(speaker, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("S1")))
-    t = t.where(~F.col("t").isin("[S1]", "[S2]") & (F.regexp_replace("t", r"(?U)\s", "") != ""))
+    t = t.where(~F.col("t").isin("[S1]", "[S2]")).withColumn("t", stripped(F.col("t"))).where("t <> ''")
     pause = F.col("t").isin(*PAUSES)
-    return t.select(key, (F.row_number().over(w) - 1).cast("long").alias("turn_idx"), F.when(pause, "PAUSE").otherwise(F.col("speaker")).alias("tag"), F.regexp_replace("t", r"(?U)^\s+|\s+\z", "").alias("text"))
+    return t.select(key, (F.row_number().over(w) - 1).cast("long").alias("turn_idx"), F.when(pause, "PAUSE").otherwise(F.col("speaker")).alias("tag"), F.col("t").alias("text"))
+
+
+def narration_parts(narrations: DataFrame, key: str = "doc_id", text: str = "narration") -> DataFrame:
+    """key, part_idx, kind (pause or text), text of a narration: pauses and what is read between them, blank pieces dropped."""
+    t = narrations.select(key, F.posexplode(pieces(F.col(text), MARKS)).alias("i", "t")).withColumn("t", stripped(F.col("t"))).where("t <> ''")
+    idx = F.row_number().over(Window.partitionBy(key).orderBy("i")) - 1
+    return t.select(key, idx.cast("long").alias("part_idx"), F.when(F.col("t").isin(*PAUSES), "pause").otherwise("text").alias("kind"), F.col("t").alias("text"))
 
 
 def timeline(t: DataFrame, key: str = "doc_id", words_per_minute: int = 150) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.text import stripped
+
 # Which titles are front matter, back matter or preamble.
 FRONT = r"^cover$|^half\s*title|^title\s*page|^copyright|^table\s*of\s*contents$|^contents$|^list\s*of\s*(figures|tables|illustrations)|^dedication|^epigraph|^praise\b|^endorsements?$|^also\s*by\b|^about\s*the\s*cover"
 BACK = r"^index$|^glossary$|^bibliography$|^references$|^about\s*the\s*authors?$|^colophon$|appendix|^acknowledge?ments?$|^acknowledge?ments?\s+and\b"
@@ -41,7 +47,11 @@ def sections(entries: DataFrame, within: DataFrame, max_level: int = 2) -> DataF
     """The sections of every document of within: its eligible ones, or one "Full Document" over its range where nothing is eligible."""
     some = eligible_sections(entries, within, max_level)
     whole = within.join(some.select("doc_id").distinct(), "doc_id", "left_anti")
-    return some.unionByName(whole.select("doc_id", F.lit(0).cast("long").alias("section_idx"), F.lit("Full Document").alias("title"), F.lit(1).cast("long").alias("level"), "start_page", "end_page"))
+    return some.unionByName(_whole(whole))
+
+
+def _whole(within: DataFrame) -> DataFrame:
+    return within.select("doc_id", F.lit(0).cast("long").alias("section_idx"), F.lit("Full Document").alias("title"), F.lit(1).cast("long").alias("level"), "start_page", "end_page")
 
 
 def page_tokens(secs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -68,16 +78,165 @@ def cleaned_headings(h: DataFrame) -> DataFrame:
 
 
 def packed_pages(pages: DataFrame, budget: int) -> DataFrame:
-    """doc_id, part, start_page, end_page: pages in order, a chunk closed when its tokens pass the budget and it has pages before."""
-    rows = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", (F.col("chars") / 4).cast("long").alias("tokens")))).alias("p"))
+    """doc_id, part, start_page, end_page: pages in order, a chunk closed before the page with which its characters over 4 pass the
+    budget, unless it has that page only."""
+    rows = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", F.col("chars").cast("long").alias("chars")))).alias("p"))
     kinds = "struct<parts:array<struct<s:bigint,e:bigint>>,s:bigint,e:bigint,t:bigint>"
     start = F.struct(F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)").alias("parts"), F.lit(None).cast("bigint").alias("s"), F.lit(None).cast("bigint").alias("e"), F.lit(0).cast("bigint").alias("t")).cast(kinds)
 
     def step(a: Column, x: Column) -> Column:
         page = x["page"].cast("bigint")
-        close = a["s"].isNotNull() & (a["t"] + x["tokens"] > budget)
+        close = a["s"].isNotNull() & (F.floor((a["t"] + x["chars"]) / 4) > budget)
         done = F.concat(a["parts"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"))))
-        return F.struct(F.when(close, done).otherwise(a["parts"]).alias("parts"), F.when(close | a["s"].isNull(), page).otherwise(a["s"]).alias("s"), page.alias("e"), F.when(close, x["tokens"]).otherwise(a["t"] + x["tokens"]).alias("t")).cast(kinds)
+        return F.struct(F.when(close, done).otherwise(a["parts"]).alias("parts"), F.when(close | a["s"].isNull(), page).otherwise(a["s"]).alias("s"), page.alias("e"), F.when(close, x["chars"]).otherwise(a["t"] + x["chars"]).alias("t")).cast(kinds)
 
     end = F.aggregate("p", start, step, lambda a: F.concat(a["parts"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e")))))
     return rows.select("doc_id", F.posexplode(end).alias("part", "c")).select("doc_id", F.col("part").cast("long").alias("part"), F.col("c.s").alias("start_page"), F.col("c.e").alias("end_page"))
+
+
+def raw_entries(toc: DataFrame) -> DataFrame:
+    """toc (..., title, page counted from 1) with pages counted from 0 and trimmed titles; entries before the first page are dropped."""
+    return toc.withColumn("page", F.col("page") - 1).where("page >= 0").withColumn("title", stripped(F.col("title")))
+
+
+def chosen_entries(embedded: DataFrame, inferred: DataFrame, totals: DataFrame, least: float = 0.3) -> DataFrame:
+    """The embedded entries of the documents of totals (doc_id, total_pages) in which they reach the share `least` of the pages, the
+    inferred ones of all other documents. Both have the same columns."""
+    reach = embedded.groupBy("doc_id").agg(F.max("page").alias("most"))
+    good = totals.join(reach, "doc_id").where(F.col("most") >= F.col("total_pages") * least).select("doc_id")
+    rest = totals.select("doc_id").join(good, "doc_id", "left_anti")
+    return embedded.join(good, "doc_id", "left_semi").unionByName(inferred.join(rest, "doc_id", "left_semi"))
+
+
+def font_sizes(headings: DataFrame, lines: DataFrame) -> DataFrame:
+    """headings (doc_id, ord, title, page) with font_size: the largest size in the first line of that page that holds the title, in
+    letters of either case; null where none does. lines: doc_id, page, line, text, sizes (array)."""
+    hit = headings.select("doc_id", "page", "ord", "title").join(lines, ["doc_id", "page"]).where(F.contains(F.lower(stripped(F.col("text"))), F.lower("title")))
+    first = hit.groupBy("doc_id", "ord").agg(F.min_by(F.array_max("sizes"), "line").alias("font_size"))
+    return headings.join(first, ["doc_id", "ord"], "left")
+
+
+def context_budget(num_ctx: Column, prompt_tokens: int = 350) -> Column:
+    """Tokens of a section that fit a model's window beside the prompt and the answer; a backend without a window counts as 40960."""
+    return F.floor((F.coalesce(num_ctx, F.lit(40960)) - prompt_tokens) / 2).cast("long")
+
+
+Section = tuple[str, int, int, int]  # title, level, first and last page
+
+
+def subdivided_one(secs: list[Section], entries: list[tuple[str, int, int]], run: np.ndarray, budget: int, strict: bool = True) -> list[Section]:
+    """Sections of one document, none over the budget that can be divided. entries: (title, level, page) of preamble and content, in
+    order, with the deepest level of all entries last as (None, level, None); run: characters before each page. A section over the budget becomes the entries one
+    level deeper in its pages, after an introduction up to the first of them; at the deepest level its pages are packed in parts. Passes
+    go on until nothing changes; without strict, as long as the last section looked into has changed (which can leave others whole)."""
+    deepest = entries[-1][1]
+    tokens = lambda a, b: int(run[min(b + 1, len(run) - 1)] - run[min(a, len(run) - 1)]) // 4 if b >= a else 0
+
+    def divided(sec: Section) -> tuple[list[Section], bool | None]:
+        title, level, a, b = sec
+        if tokens(a, b) <= budget:
+            return [sec], None
+        inner = [(t, p) for t, lv, p in entries[:-1] if lv == level + 1 and a <= p <= b]
+        if inner:
+            ends = [max(p, q - 1) for (_, p), (_, q) in zip(inner, inner[1:])] + [b]
+            head = [(title, level, a, inner[0][1] - 1)] if inner[0][1] > a else []
+            return head + [(t, level + 1, p, e) for (t, p), e in zip(inner, ends, strict=True)], True
+        if level < deepest:
+            return [sec], None
+        starts = [a]
+        for p in range(a + 1, b + 1):
+            if tokens(starts[-1], p) > budget:
+                starts.append(p)
+        if len(starts) == 1:
+            return [sec], False
+        return [(f"{title} (part {k + 1})", level, p, e) for k, (p, e) in enumerate(zip(starts, [q - 1 for q in starts[1:]] + [b], strict=True))], True
+
+    more = True
+    while more:
+        found = [divided(s) for s in secs]
+        secs = [x for part, _ in found for x in part]
+        marks = [m for _, m in found if m is not None]
+        more = any(marks) if strict else bool(marks) and marks[-1]
+    return secs
+
+
+def subdivided(secs: DataFrame, entries: DataFrame, pages: DataFrame, budget: int, strict: bool = True) -> DataFrame:
+    """secs (doc_id, section_idx, title, level, start_page, end_page) divided to the token budget (see subdivided_one), numbered anew.
+    entries: doc_id, ord, level, title, page; pages: doc_id, page, chars. What belongs to a document comes together by doc_id (its
+    pages and entries, no texts); documents whose sections all fit are passed through by the same code."""
+    use = F.when(kind(F.col("title")).isin("preamble", "content"), F.struct("ord", "title", F.col("level").cast("long").alias("level"), F.col("page").cast("long").alias("page")))
+    e = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(use)).alias("entries"), F.max("level").cast("long").alias("deepest"))
+    p = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page").cast("long").alias("page"), F.col("chars").cast("long").alias("chars")))).alias("pages"))
+    s = secs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_idx", "title", F.col("level").cast("long").alias("level"), F.col("start_page").cast("long").alias("start_page"), F.col("end_page").cast("long").alias("end_page")))).alias("secs"))
+    every = s.join(e, "doc_id", "left").join(p, "doc_id", "left")
+    names = ["doc_id", "section_idx", "title", "level", "start_page", "end_page"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, out = [], []
+            for i in range(len(b)):
+                r = {k: b.column(k)[i].as_py() for k in ("secs", "entries", "deepest", "pages")}
+                chars = np.zeros(1 + max([x["page"] for x in r["pages"] or []], default=-1), np.int64)
+                for x in r["pages"] or []:
+                    chars[x["page"]] += x["chars"]
+                inner = [(x["title"], x["level"], x["page"]) for x in r["entries"] or []]
+                mine = [(x["title"], x["level"], x["start_page"], x["end_page"]) for x in r["secs"]]
+                new = subdivided_one(mine, [*inner, (None, r["deepest"] or 0, None)], np.append(0, np.cumsum(chars)), budget, strict)
+                row += [i] * len(new)
+                out += [(k, *x) for k, x in enumerate(new)]
+            cols = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), *cols], names)
+
+    return every.mapInArrow(run, f"doc_id {secs.schema['doc_id'].dataType.simpleString()}, section_idx long, title string, level long, start_page long, end_page long")
+
+
+def budget_sections(entries: DataFrame, within: DataFrame, pages: DataFrame, budget: int, max_level: int = 2, strict: bool = True) -> DataFrame:
+    """sections() divided to the budget. A document in which nothing is eligible stays whole, however large."""
+    some = eligible_sections(entries, within, max_level)
+    whole = within.join(some.select("doc_id").distinct(), "doc_id", "left_anti")
+    return subdivided(some, entries, pages, budget, strict).unionByName(_whole(whole))
+
+
+def title_pattern(title: Column) -> Column:
+    """A pattern for the heading line of a title in markdown: its first four words, after hashes or in bold, with its number or without."""
+    numbered = F.regexp_extract(title, r"^([\d.]+)\s+(.*)", 1)
+    rest = F.when(numbered != "", F.regexp_extract(title, r"^([\d.]+)\s+(.*)", 2)).otherwise(title)
+    quoted = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    words = F.array_join(F.transform(F.slice(F.regexp_extract_all(rest, F.lit(r"(?U)\S+"), F.lit(0)), 1, 4), quoted), r"\s+")
+    number = quoted(numbered)
+    plain = F.concat(F.lit(r"^#{1,6}\s+\**"), words, F.lit(r"|^\**"), words, F.lit(r"\**\s*$"))
+    with_number = F.concat(F.lit(r"^\**"), number, F.lit(r"\**\s+\**"), words, F.lit(r"|^#{1,6}\s+"), number, F.lit(r"\s+"), words, F.lit("|"))
+    return F.concat(F.lit("(?mUd)(?:"), F.when(numbered != "", with_number).otherwise(""), plain, F.lit(")"))
+
+
+def trimmed(md: Column, title: Column, next_title: Column) -> Column:
+    """What belongs to a section on pages that it shares: what comes before its heading goes with the heading (and bold lines that carry it
+    on), unless the heading is the very beginning; what follows from the next title's heading on goes too (null: nothing does)."""
+    own, following = title_pattern(title), title_pattern(next_title)
+    at_start = lambda t, p: F.regexp_like(t, F.concat(F.lit(r"\A"), p))
+    before = lambda p: F.concat(F.lit("(?mUd)(?="), p, F.lit(")"))
+    parts = F.split(md, before(own), 2)
+    rest = F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(1)), r"\A[^\n]*(?:\n|\z)", ""), r"\A(?:\*\*[^\n]*(?:\n|\z))*+", "")
+    body = F.when(at_start(md, own) | (F.size(parts) < 2), md).otherwise(F.regexp_replace(rest, r"\A\n+", ""))
+    cut = F.when(next_title.isNull(), body).when(at_start(body, following), "").otherwise(F.get(F.split(body, before(following), 2), F.lit(0)))
+    return stripped(cut)
+
+
+def section_texts(secs: DataFrame, pages: DataFrame, trim: Callable[[Column, Column, Column], Column] | None = trimmed) -> DataFrame:
+    """secs with content: the texts of its pages (doc_id, page, text), cut by `trim` where pages are shared (None: not cut). The next
+    title takes part only if it begins on a page of this section. Pages meet their sections by document and page, without a range join."""
+    w = Window.partitionBy("doc_id").orderBy("section_idx")
+    s = secs.withColumn("__next", F.when(F.lead("start_page").over(w) <= F.col("end_page"), F.lead("title").over(w)))
+    on_page = s.where("start_page <= end_page").select("doc_id", "section_idx", F.explode(F.sequence("start_page", "end_page")).alias("page"))
+    body = on_page.join(pages, ["doc_id", "page"]).groupBy("doc_id", "section_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    out = s.join(body, ["doc_id", "section_idx"], "left").withColumn("content", F.coalesce("content", F.lit("")))
+    if trim is not None:
+        out = out.withColumn("content", trim(F.col("content"), F.col("title"), F.col("__next")))
+    return out.drop("__next")
+
+
+def section_stats(content: Column, budget: int) -> dict[str, Column]:
+    """Characters, tokens, and percent of the budget."""
+    n = F.length(content).cast("long")
+    tokens = F.floor(n / 4).cast("long")
+    return {"n_chars": n, "n_tokens": tokens, "percent": F.bround(100 * tokens / budget, 0).cast("long")}

@@ -8,34 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fn
-from foliant.operators import assembly, blocks, dialogue, toc
+from foliant.operators import articles, assembly, blocks, dialogue, toc
+from foliant.plans.base import ORACLES, QUERIES, WORDS, query, table
 from foliant.sources import pages as web
 from foliant.sources import store
 from foliant.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 TITLES = ("Preface", "Introduction", "Chapter One", "Copyright Notice", "Methods", "Index", "References", "Appendix A", "About the Author", "Results", "List of Figures", "Acknowledgements", "Praise for the book", "Contents", "Foreword by a friend", "Glossary")
 
 
-def query(oracle: str = "") -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-WORDS = r"len(regexp_extract_all({0}, '\S+'))"
-
-
 @query(rf"select conv_id, turn, case role when 'user' then 'S1' when 'assistant' then 'S2' else 'PAUSE' end tag, {WORDS.format('text')}::bigint n_words from conversations")
 def dialogue_turns(spark: SparkSession, d: str) -> DataFrame:
     tag = F.when(F.col("role") == "user", "S1").when(F.col("role") == "assistant", "S2").otherwise("PAUSE")
@@ -174,7 +155,12 @@ def toc_whole_tokens(spark: SparkSession, d: str) -> DataFrame:
     return toc.page_tokens(toc_whole_sections(spark, d), page_text(spark, d))
 
 
-@query()
+@query(f"""with recursive e as ({ENTRIES}), tot as (select doc_id, max(page) + 10 total_pages from e group by 1)
+, pre as (select doc_id, page, sum((doc_id * 31 + page * 17) % 4000) over (partition by doc_id order by page)::bigint run from {PAGES})
+, g as (select doc_id, 0::bigint page, 0::bigint s, 0::bigint part, 0::bigint base from tot union all
+ select p.doc_id, p.page, case when (p.run - g.base) // 4 > 20305 then p.page else g.s end, case when (p.run - g.base) // 4 > 20305 then g.part + 1 else g.part end, case when (p.run - g.base) // 4 > 20305 then q.run else g.base end
+ from g join pre p on p.doc_id = g.doc_id and p.page = g.page + 1 join pre q on q.doc_id = g.doc_id and q.page = g.page)
+select doc_id, part, min(s)::bigint start_page, max(page)::bigint end_page from g group by 1, 2""")
 def page_packing(spark: SparkSession, d: str) -> DataFrame:
     return toc.packed_pages(page_text(spark, d), 20305)
 
@@ -186,9 +172,8 @@ HEADINGS = "select p_size::bigint doc_id, p_partkey ord, case when p_partkey % 3
  b as (select *, regexp_extract(title, '^(\d+(?:\.\d+)*)\s', 1) num, case when font_size > 0 then font_size end sz from a where n <= 2 and rn = 1), c as (select *, avg((num <> '')::int) over (partition by doc_id) share, max(sz) over (partition by doc_id) most, len(list_distinct(list(sz) over (partition by doc_id))) k from b)
  select doc_id, ord, title, coalesce(page, 0)::bigint page, case when share > 0.5 then case when num <> '' then len(regexp_extract_all(num, '\.')) + 1 else 1 end when k >= 2 and not coalesce(sz >= most, false) then 2 else 1 end::bigint as level from c""")
 def heading_clean(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "part").createOrReplaceTempView("foliant_part")
-    sql = HEADINGS.replace("from part", "from foliant_part").replace("::varchar", "::string")
-    return toc.cleaned_headings(spark.sql(sql)).withColumn("page", F.col("page").cast("long"))
+    sql = HEADINGS.replace("from part", "from {part}").replace("::varchar", "::string")
+    return toc.cleaned_headings(spark.sql(sql, part=table(spark, d, "part"))).withColumn("page", F.col("page").cast("long"))
 
 
 @query("select unnest(case when o_orderkey % 3 = 0 then [0] when o_orderkey % 3 = 1 then [8] else range(o_orderkey % 7, 1 + least(8, o_orderkey % 5 + 3)) end)::bigint idx, o_orderkey from orders where o_orderkey % 3 < 2 or o_orderkey % 7 <= least(8, o_orderkey % 5 + 3)")
@@ -230,20 +215,24 @@ def prompt_columns(spark: SparkSession, d: str) -> DataFrame:
 MARKED = "case when (i % 5) = 0 then case when (doc_id + i) % 2 = 0 then '# ' else '## ' end || line else line end"
 
 
+def marked(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with hashes before every fifth line."""
+    lines = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(i % 5 == 0, F.concat(F.when((F.col("doc_id") + i) % 2 == 0, "# ").otherwise("## "), line)).otherwise(line))
+    return table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
 @query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 i from documents), m as (select doc_id, i, {MARKED} line from l), s as (select *, sum((line like '## %')::int) over (partition by doc_id order by i) k from m)
  select doc_id, k::bigint section_idx, coalesce(max(trim(ltrim(line, '#'))) filter (where line like '## %'), 'Introduction') title, coalesce(string_agg(line, chr(10) order by i) filter (where line not like '## %'), '') content from s group by doc_id, k having count(*) filter (where line not like '## %') > 0""")
 def md_sections(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("line", F.expr(MARKED))
-    head = F.col("line").startswith("## ")
-    s = m.withColumn("head", head).withColumn("k", F.sum(head.cast("int")).over(Window.partitionBy("doc_id").orderBy("i")))
-    g = s.groupBy("doc_id", F.col("k").alias("section_idx")).agg(F.max(F.when(F.col("head"), F.trim(F.ltrim("line", F.lit("#"))))).alias("title"), F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("i", "line")))).alias("b"))
-    return g.where(F.size("b") > 0).select("doc_id", "section_idx", F.coalesce("title", F.lit("Introduction")).alias("title"), F.array_join(F.transform("b", lambda x: x["line"]), "\n").alias("content"))
+    return articles.markdown_sections(marked(spark, d))
 
 
-@query(r"""select doc_id, i line_idx from (select doc_id, unnest(string_split(text, chr(10))) line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::bigint i from documents) where regexp_matches(trim(line), '(?i)copyright|©|creative commons|this work is licensed|permission to make|[a-z.]+@[a-z.]+\.[a-z]{2,}')""")
+@query(r"""select doc_id, i line_idx from (select doc_id, unnest(string_split(text, chr(10))) line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::bigint i from documents)
+ where regexp_matches(trim(line), '(?i)copyright|©|\bDOI\b|10\.\d{4,}/|ACM Reference|IEEE\b.{0,30}$|CCS Concepts|\bISBN\b|\bISSN\b|Permission to make|^\*\*Keywords\*\*|^Keywords:|Creative Commons|This work is licensed|Proceedings of\b|\bet al\.\s*$|Received .{0,30}; revised|^\[https?://|^https?://\S+$')
+ or regexp_matches(trim(line), '(?i)[A-Za-z.]+@[A-Za-z.]+\.\w{2,}|\bUniversity\b|\bInstitute\b|\bORCID\b|orcid\.org')""")
 def metadata_lines(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    return l.where(F.trim("line").rlike(r"(?i)copyright|©|creative commons|this work is licensed|permission to make|[a-z.]+@[a-z.]+\.[a-z]{2,}")).select("doc_id", F.col("i").cast("long").alias("line_idx"))
+    return l.where(blocks.metadata_line(F.col("line"))).select("doc_id", F.col("i").cast("long").alias("line_idx"))
 
 
 ACTION = "case event_type when 'signup' then 'enqueue' when 'view' then 'start' when 'purchase' then 'exit_ok' when 'error' then 'exit_error' else 'stop' end"
@@ -288,7 +277,14 @@ def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     return web.pages_to_markdown(table(spark, d, "pages"))
 
 
-@query()
+LINES = """select doc_id, unnest(string_split(text, chr(10))) line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::bigint i from documents"""
+
+
+@query(rf"""with l as (select *, trim(line) = '' blank, regexp_matches(trim(line), '(?i)copyright|©|\bDOI\b|10\.\d{{4,}}/|IEEE\b.{{0,30}}$|\bISBN\b|\bISSN\b|Permission to make|Creative Commons|This work is licensed|Proceedings of\b|\bet al\.\s*$|^https?://\S+$|[A-Za-z.]+@[A-Za-z.]+\.\w{{2,}}|\bUniversity\b|\bInstitute\b|\bORCID\b') meta from ({LINES}))
+, k as (select *, coalesce(max(i) filter (meta) over w, -1) > coalesce(max(i) filter (not meta and (blank or length(trim(line)) >= 80)) over w, -1) in_meta from l window w as (partition by doc_id order by i))
+, c as (select *, sum((blank or in_meta is distinct from p or pb)::int) over (partition by doc_id order by i) part from (select *, lag(in_meta) over (partition by doc_id order by i) p, lag(blank) over (partition by doc_id order by i) pb from k))
+select doc_id, (row_number() over (partition by doc_id order by part) - 1)::int block_idx, case when in_meta then 'metadata' else 'paragraph' end kind, content, 0 "level"
+ from (select doc_id, part, bool_or(in_meta) in_meta, trim(string_agg(line, chr(10) order by i)) content from c where not blank group by 1, 2)""")
 def narration_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks.blocks(table(spark, d, "documents"))
 
@@ -366,8 +362,11 @@ def run_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from foliant.plans import contents, episodes, queues  # noqa: F401 (they register theirs)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

@@ -34,7 +34,8 @@ def download_name(value: Column) -> Column:
 
 
 class _Markdown(HTMLParser):
-    """Main text of a page: headings, paragraphs, list items; scripts, navigation and the like are left out."""
+    """Main text of a page: headings, paragraphs, list items, bold and italic words, tables; texts of links without their targets, no
+    images; scripts, navigation and the like are left out."""
 
     OUT = frozenset({"script", "style", "nav", "header", "footer", "aside", "noscript", "form", "head"})
 
@@ -42,6 +43,7 @@ class _Markdown(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.hidden = 0
+        self.rows = self.cells = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.OUT:
@@ -50,20 +52,34 @@ class _Markdown(HTMLParser):
             self.parts.append("\n\n" + "#" * int(tag[1]) + " ")
         elif tag in ("p", "div", "table", "ul", "ol"):
             self.parts.append("\n\n")
+            self.rows = 0 if tag == "table" else self.rows
         elif tag == "li":
             self.parts.append("\n- ")
-        elif tag in ("br", "tr"):
+        elif tag == "br":
             self.parts.append("\n")
+        elif tag == "tr":
+            self.parts.append("\n|")
+            self.cells = 0
+        elif tag in ("td", "th"):
+            self.parts.append(" ")
+            self.cells += 1
         elif tag in ("b", "strong"):
             self.parts.append("**")
+        elif tag in ("i", "em"):
+            self.parts.append("*")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.OUT:
             self.hidden = max(0, self.hidden - 1)
         elif tag in ("b", "strong"):
             self.parts.append("**")
+        elif tag in ("i", "em"):
+            self.parts.append("*")
         elif tag in ("td", "th"):
-            self.parts.append(" | ")
+            self.parts.append(" |")
+        elif tag == "tr":
+            self.parts.append("\n|" + "---|" * self.cells if self.rows == 0 else "")
+            self.rows += 1
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "div"):
             self.parts.append("\n\n")
 
