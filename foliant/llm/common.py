@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -54,6 +55,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             i = j
 
 
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Gives memory that a slice no longer needs back to the system, so that a reused Python worker doesn't keep the peak of each stage."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def byte_texts(arr: pa.Array) -> list[bytes]:
     """UTF-8 of each text, empty for null."""
     return arr.cast(pa.binary()).fill_null(b"").to_pylist()

@@ -8,49 +8,115 @@ their length, which is counted in salted groups, so a length that many pieces sh
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import release, slices, stored
+from .tokens import byte_symbols
 
-CACHE_WORDS = 1_000_000
+#: Word parts kept with their ids in a Python worker, in each of two generations (about 200 bytes each).
+CACHE_PARTS = 350_000
 #: Pieces in a salted group, on average.
 GROUP = 20_000
+#: Words of ASCII and Latin-1 letters, whose lower case, normal form and classes need no tables; others go to the library whole.
+PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+# Fixed: the word pattern of the vocabulary, for lower-cased words of that kind. A line break parts words.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+|\n")
+#: Stands between words in a run of ids; no vocabulary is that large.
+BREAK = 0xFFFFFFFF
+
+
+class Recent:
+    """Values by key in two generations: a full one becomes the old one, and what is used from the old one moves over."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def lacks(self, keys: Iterable) -> list:
+        """Keys without a value; the others are in `new` from now on."""
+        out = []
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        for k in keys:
+            if k not in new:
+                if (v := old.get(k)) is None:
+                    out.append(k)
+                else:
+                    new[k] = v
+        return out
 
 
 class Ids:
     """Token ids of texts by the tokenizers library. White space always parts words in vocabularies of this kind (its pattern never
-    crosses it and no special string holds it), so the ids of equal words are looked up."""
+    crosses it and no special string holds it). The distinct words of a batch are divided into the parts that the vocabulary's pattern
+    gives, whose ids are looked up or asked from the library's model."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        every = set().union(*split)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = every
-        order = list(new)
-        for w, e in zip(order, self.tok.encode_batch_fast([w.decode() for w in order], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        get, last = self.known.__getitem__, np.array([end], np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(get, w)) + last, np.uint32) for w in split]
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.symbols = {b: c for c, b in byte_symbols().items()}
+        self.parts, self.others = Recent(CACHE_PARTS), Recent(CACHE_PARTS // 8)
+
+    def of_plain(self, words: pa.Array) -> np.ndarray:
+        """Ids of plain words, by the model of the library, with BREAK between words."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
+        parts = PARTS.findall(joined.lower())
+        known, model = self.parts, self.tok.model
+        for x in known.lacks(set(parts)):
+            symbols = x if x.isascii() else x.encode().decode("latin-1").translate(self.symbols)
+            known.new[x] = array("I", [BREAK] if x == "\n" else [t.id for t in model.tokenize(symbols)]).tobytes()
+        return np.frombuffer(b"".join(map(known.new.__getitem__, parts)), np.uint32)
+
+    def of_others(self, words: pa.Array) -> np.ndarray:
+        """The same for any words, by the library."""
+        words = words.to_pylist()
+        known, gap = self.others, array("I", [BREAK]).tobytes()
+        new = known.lacks(dict.fromkeys(words))
+        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known.new[w] = array("I", e.ids).tobytes()
+        return np.frombuffer(gap.join(map(known.new.__getitem__, words)), np.uint32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (strings without nulls), one after the other, and where each text's begin (and the end)."""
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.values.dictionary_encode()
+        distinct = words.dictionary
+        plain = pc.match_substring_regex(distinct, PLAIN)
+        for s in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(distinct, s)))
+        plain = plain.to_numpy(zero_copy_only=False)
+        begin, size, flat, total = np.zeros(len(plain), np.int64), np.zeros(len(plain), np.int64), [], 0
+        for some, find in ((plain, self.of_plain), (~plain, self.of_others)):
+            if some.any():
+                ids = find(distinct.filter(pa.array(some)))
+                cut = np.flatnonzero(ids == BREAK)
+                low = np.append(0, cut + 1)
+                begin[some], size[some] = low + total, np.append(cut, len(ids)) - low
+                flat.append(ids)
+                total += len(ids)
+        at = words.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        end = np.append(0, np.cumsum(n))
+        out = np.concatenate([*flat, np.zeros(0, np.uint32)])[np.repeat(begin[at] - end[:-1], n) + np.arange(end[-1])]
+        return out, end[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
 
 @lru_cache(1)
@@ -63,15 +129,20 @@ def cut(docs: DataFrame, path: str, size: int = 2048, end: int = 0, key: str = "
     are one piece of one token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = ids_of(path)
+        t, last = ids_of(path), np.array([end], np.uint32).tobytes()
         for b in slices(batches, text):
-            keys, rows = b.column(key).to_pylist(), []
-            for k, ids in zip(keys, t.encode(b.column(text).cast(pa.binary()).fill_null(b"").to_pylist(), end), strict=True):
-                for i, at in enumerate(range(0, len(ids), size)):
-                    p = ids[at : at + size]
-                    rows.append((k, i, at, len(p), zlib.crc32(p.tobytes())))
-            c = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], b.column(key).type), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])], [key, "piece", "start", "length", "ids_crc32"])
+            ids, edge = t.encode(b.column(text).fill_null(""))
+            raw, count = memoryview(ids.tobytes()), np.diff(edge) + 1  # and the end id
+            pieces = -(-count // size)
+            row = np.repeat(np.arange(len(b)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * size
+            length = np.minimum(count[row] - start, size)
+            low = 4 * (edge[row] + start)
+            crc = [zlib.crc32(last, zlib.crc32(raw[x : x + 4 * n - 4])) if whole else zlib.crc32(raw[x : x + 4 * n]) for x, n, whole in zip(low.tolist(), length.tolist(), (start + length == count[row]).tolist(), strict=True)]
+            cols = [b.column(key).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, [key, "piece", "start", "length", "ids_crc32"])
+            release()
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
