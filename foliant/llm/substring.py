@@ -19,19 +19,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, n_buckets, slices, stored
-from .runs import cuts, packed, unpacked
+from .common import BROADCAST_IDS, n_buckets, release, slices, stored
+from .runs import FAN, cuts, joined, packed, salted, unpacked, widths
 from .wordstream import CASED, Words, mix
 
 WINDOW = 20
 #: Text bytes a slice and a range of fingerprints stand for.
-SLICE, RANGE = 3 << 20, 12 << 20
-RUN = "bucket long, old boolean, docs binary, fingerprint binary, checked binary, doc binary, at binary, doc2 binary, at2 binary"
+SLICE, RANGE = 3 << 20, 6 << 20
+BLOBS = ["docs", "fingerprint", "checked", "doc", "at"]
+RUN = "bucket long, old boolean, " + ", ".join(f"{k} binary" for k in BLOBS)
+RUN_ROWS = pa.schema([("bucket", pa.int64()), ("old", pa.bool_()), *((k, pa.binary()) for k in BLOBS)])
+FOUND = pa.schema([("part", pa.int64()), ("doc", pa.binary()), ("at", pa.binary())])
 NULL_ID = -(1 << 63)
 
 
-def runs(docs: DataFrame, buckets: int, window: int = WINDOW, old: bool = False) -> DataFrame:
-    """One sorted run of every slice of docs (doc_id, text), cut by fingerprint range. Null ids count as the smallest id."""
+def with_ids(doc: np.ndarray) -> tuple[bytes, bytes]:
+    """Ids as a blob of distinct ones and one of which it is."""
+    used, back = np.unique(doc, return_inverse=True)
+    return packed(used), packed(back.astype(np.uint32))
+
+
+def run_rows(run: tuple, width: int, old: bool) -> pa.Table:
+    """A sorted run (fingerprint, check, -, doc, at) as a row for each of the `width` ranges that it touches."""
+    f, check, _, doc, at = run
+    bucket, cut = cuts(f, width)
+    rows = []
+    for i in range(len(bucket)):
+        s = slice(cut[i], cut[i + 1])
+        docs, back = with_ids(doc[s])
+        rows.append((docs, packed(f[s]), packed(check[s]), back, packed(at[s].astype(np.uint32))))
+    return pa.Table.from_arrays([pa.array(bucket), pa.array([old] * len(bucket), pa.bool_()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(5))], schema=RUN_ROWS)
+
+
+def repeat_rows(doc: np.ndarray, at: np.ndarray, width: int) -> pa.Table:
+    """Repeats that are already known, dealt by document (buckets below 0), without fingerprints: however many a hot passage has, they
+    don't meet in its range."""
+    part, doc, at, edge = by_part(doc, at, width)
+    none, rows = packed(np.zeros(0, np.uint64)), []
+    for i in range(len(part)):
+        docs, back = with_ids(doc[edge[i] : edge[i + 1]])
+        rows.append((docs, none, none, back, packed(at[edge[i] : edge[i + 1]].astype(np.uint32))))
+    return pa.Table.from_arrays([pa.array(-1 - part), pa.array([False] * len(part), pa.bool_()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(5))], schema=RUN_ROWS)
+
+
+def by_part(doc: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Windows (doc, at) sorted by the hash of the document, the ranges that they touch, and where each begins (and the end)."""
+    h = mix(doc.astype(np.int64).view(np.uint64), 3)
+    o = np.argsort(h, kind="stable")
+    part, edge = cuts(h[o], width)
+    return part, doc[o], at[o], edge
+
+
+def runs(docs: DataFrame, width: int, window: int = WINDOW, old: bool = False) -> DataFrame:
+    """One sorted run of every slice of docs (doc_id, text), cut into `width` fingerprint ranges. Null ids count as the smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
@@ -56,17 +96,11 @@ def runs(docs: DataFrame, buckets: int, window: int = WINDOW, old: bool = False)
             lead_doc = np.searchsorted(w.first, lead, "right") - 1
             size = np.diff(np.append(new, len(g)))
             later &= (ids[doc] != np.repeat(ids[lead_doc], size)) | (pos != np.repeat(lead - w.first[lead_doc], size))
-            bucket, cut = cuts(g[new], buckets)
-            edge = np.append(new, len(g))[cut]
-            rows = []
-            for i in range(len(bucket)):
-                s, full = slice(cut[i], cut[i + 1]), slice(edge[i], edge[i + 1])
-                d, a = lead_doc[s], lead[s] - w.first[lead_doc[s]]
-                d2, a2 = doc[full][later[full]], pos[full][later[full]]
-                used, back = np.unique(np.concatenate([d, d2]), return_inverse=True)
-                rows.append((int(bucket[i]), old, packed(ids[used]), packed(g[new][s]), packed(check[new][s]), packed(back[: len(d)].astype(np.uint32)), packed(a.astype(np.uint32)), packed(back[len(d) :].astype(np.uint32)), packed(a2.astype(np.uint32))))
-            c = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.bool_()), *(pa.array(x, pa.binary()) for x in c[2:])], ["bucket", "old", "docs", "fingerprint", "checked", "doc", "at", "doc2", "at2"])
+            rows = run_rows((g[new], check[new], None, ids[lead_doc], lead - w.first[lead_doc]), width, old)
+            if not old and later.any():
+                rows = pa.concat_tables([rows, repeat_rows(ids[doc[later]], pos[later], width)])
+            yield from rows.to_batches()
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RUN)
 
@@ -108,71 +142,89 @@ class Levels:
         return out
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Levels:
+def gathered(table: pa.Table) -> Levels:
     index = Levels()
-    for b in batches:
-        for i in range(len(b)):
-            r = {k: b.column(k)[i].as_py() for k in b.schema.names}
-            ids = unpacked(r["docs"], np.int64)
-            f = unpacked(r["fingerprint"], np.uint64)
-            doc, doc2 = unpacked(r["doc"], np.uint32), unpacked(r["doc2"], np.uint32)
-            index.add((f, unpacked(r["checked"], np.uint16), np.full(len(f), not r["old"]), ids[doc], unpacked(r["at"], np.uint32)))
-            if not r["old"] and len(doc2):
-                index.repeats.append((ids[doc2], unpacked(r["at2"], np.uint32)))
+    blobs = {k: table.column(k) for k in BLOBS}
+    for i, old in enumerate(table.column("old").to_pylist()):
+        r = {k: c[i].as_py() for k, c in blobs.items()}
+        doc, at = unpacked(r["docs"], np.int64)[unpacked(r["doc"], np.uint32)], unpacked(r["at"], np.uint32)
+        f = unpacked(r["fingerprint"], np.uint64)
+        if len(f):
+            index.add((f, unpacked(r["checked"], np.uint16), np.full(len(f), not old), doc, at))
+        else:
+            index.repeats.append((doc, at))
     return index
 
 
-def repeats(new: DataFrame, history: DataFrame | None = None, parts: int = 1) -> DataFrame:
-    """doc_id and at (packed unsigned 32-bit starts) of the windows that repeat an earlier one, a row for each document that has any. new
-    and history: runs() with the same number of buckets. The repeats of a range go to the `parts` that their documents are dealt by."""
+def repeated(index: Levels) -> tuple[np.ndarray, np.ndarray]:
+    empty = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    return tuple(np.concatenate(x) for x in zip(empty, *index.repeats, strict=True))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = gathered(batches)
+
+def repeats(new: DataFrame, history: DataFrame | None = None, buckets: int = 1, fan: int = FAN) -> DataFrame:
+    """doc_id and at (packed unsigned 32-bit starts) of the windows that repeat an earlier one, a row for each document that has any. new
+    and history: runs() of widths(buckets, fan)[0] ranges. The repeats that a range finds are dealt by document in as many parts."""
+    wide = widths(buckets, fan)
+    kinds = "part long, doc binary, at binary"
+
+    def finer(width: int) -> Callable:
+        def run(table: pa.Table) -> pa.Table:
+            index = gathered(table)
+            whole, out = index.whole(), []
+            if whole is not None:  # history and new runs stay apart, as new ones alone lose to an equal place
+                for old in (False, True):
+                    use = whole[2] != old
+                    if use.any():
+                        out.append(run_rows(tuple(x[use] for x in whole), width, old))
+            doc, at = repeated(index)
+            release()
+            return pa.concat_tables([*out, repeat_rows(doc, at, width)])
+
+        return run
+
+    def found_rows(doc: np.ndarray, at: np.ndarray, width: int) -> pa.Table:
+        part, doc, at, edge = by_part(doc, at.astype(np.uint32), width)
+        rows = [[packed(x[edge[i] : edge[i + 1]]) for i in range(len(part))] for x in (doc, at)]
+        release()
+        return pa.Table.from_arrays([pa.array(part), *(pa.array(x, pa.binary()) for x in rows)], schema=FOUND)
+
+    def find(table: pa.Table) -> pa.Table:
+        index = gathered(table)
         index.whole()
-        if not index.repeats:
-            return
-        doc, at = (np.concatenate(x) for x in zip(*index.repeats, strict=True))
-        part = (mix(doc.astype(np.int64).view(np.uint64), 3) % np.uint64(parts)).astype(np.int64)
-        o = np.argsort(part, kind="stable")
-        part, doc, at = part[o], doc[o], at[o].astype(np.uint32)
-        edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-        rows = [[packed(x[edge[i] : edge[i + 1]]) for i in range(len(edge) - 1)] for x in (doc, at)]
-        yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), *(pa.array(x, pa.binary()) for x in rows)], ["part", "doc", "at"])
+        return found_rows(*repeated(index), wide[0])
+
+    def windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return joined(table.column("doc").to_pylist(), np.int64), joined(table.column("at").to_pylist(), np.uint32)
+
+    def finer_parts(width: int) -> Callable:
+        return lambda table: found_rows(*windows(table), width)
 
     def by_document(table: pa.Table) -> pa.Table:
-        doc, at = (np.concatenate([unpacked(x, t) for x in table.column(k).to_pylist()]) for k, t in (("doc", np.int64), ("at", np.uint32)))
+        doc, at = windows(table)
         o = np.lexsort((at, doc))
         doc, at = doc[o], at[o]
         edge = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
-        return pa.table({"doc_id": doc[edge[:-1]], "at": pa.array([packed(at[edge[i] : edge[i + 1]]) for i in range(len(edge) - 1)], pa.binary())})
+        out = pa.table({"doc_id": doc[edge[:-1]], "at": pa.array([packed(at[edge[i] : edge[i + 1]]) for i in range(len(edge) - 1)], pa.binary())})
+        release()
+        return out
 
     every = new if history is None else new.unionByName(history)
-    found = every.groupBy("bucket").applyInArrow(_grouped(find, [("part", pa.int64()), ("doc", pa.binary()), ("at", pa.binary())]), "part long, doc binary, at binary")
+    for before, width in zip(wide, wide[1:], strict=False):
+        every = salted(every, "bucket", "at", buckets, before).applyInArrow(finer(width), RUN)
+    found = every.groupBy("bucket").applyInArrow(find, kinds)
+    for before, width in zip(wide, wide[1:], strict=False):
+        found = salted(found, "part", "doc", buckets, before).applyInArrow(finer_parts(width), kinds)
     return found.groupBy("part").applyInArrow(by_document, "doc_id long, at binary")
 
 
 def compacted(history: DataFrame) -> DataFrame:
     """Runs merged into one for each range."""
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        f, check, _, doc, at = gathered(iter(batches)).whole()
-        ids, back = np.unique(doc, return_inverse=True)
-        none = packed(np.zeros(0, np.uint32))
-        row = [packed(ids), packed(f), packed(check), packed(back.astype(np.uint32)), packed(at.astype(np.uint32)), none, none]
-        yield pa.RecordBatch.from_arrays([batches[0].column("bucket").slice(0, 1), pa.array([True]), *(pa.array([x], pa.binary()) for x in row)], ["bucket", "old", "docs", "fingerprint", "checked", "doc", "at", "doc2", "at2"])
+    def reduce(table: pa.Table) -> pa.Table:
+        whole = run_rows(gathered(table).whole(), 1, True)
+        return whole.set_column(0, "bucket", table.column("bucket").slice(0, 1))
 
-    return history.groupBy("bucket").applyInArrow(_grouped(reduce), RUN)
-
-
-def _grouped(f: Callable, empty: list | None = None) -> Callable:
-    """The form of applyInArrow that takes a whole group as a table."""
-
-    def run(table: pa.Table) -> pa.Table:
-        out = list(f(iter(table.to_batches())))
-        return pa.Table.from_batches(out) if out else pa.schema(empty).empty_table()
-
-    return run
+    return history.where("bucket >= 0").groupBy("bucket").applyInArrow(reduce, RUN)
 
 
 def kept_words(t: bytes, at: np.ndarray, window: int = WINDOW) -> tuple[int, int, bytes]:
@@ -199,13 +251,13 @@ def removed(docs: DataFrame, digest: bool = False, window: int = WINDOW, history
     spark = docs.sparkSession
     spark_docs = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
     buckets = buckets or n_buckets(docs, RANGE)
-    found = stored(repeats(runs(docs, buckets, window), history, buckets), "repeats").select(F.col("doc_id").alias("__id"), F.col("at").alias("__at"))
+    found = stored(repeats(runs(docs, widths(buckets)[0], window), history, buckets), "repeats").select(F.col("doc_id").alias("__id"), F.col("at").alias("__at"))
     names = [c for c in docs.columns if not (digest and c == "text")]
     extra = [("n_words", pa.int64()), ("n_removed", pa.int64()), *([("kept_sha256", pa.string())] if digest else [])]
     kinds = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"{k} {'string' if t == pa.string() else 'long'}" for k, t in extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             has = "__at" in b.schema.names
             rows, texts = [], []
             lists = b.column("__at").to_pylist() if has else [None] * len(b)
