@@ -18,7 +18,7 @@ proportion to its size, and no link between different components is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -27,19 +27,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, components, n_buckets, slices, stored
-from .runs import cuts, packed, unpacked
+from .common import BROADCAST_IDS, components, n_buckets, release, slices, stored
+from .runs import FAN, cuts, joined, packed, salted, unpacked, widths
 from .wordstream import LOWERED, Words, mix
 
 SHINGLE, TENTHS = 5, 8
 #: Tokens in so many sets or more are a frequent class; their groups hold about a GROUP-th part of a set's size.
 FREQUENT, GROUP = 12, 8
-SLICE, RANGE = 3 << 20, 12 << 20
+#: Text bytes a slice and a range of tokens stand for.
+SLICE, RANGE = 3 << 20, 6 << 20
+#: A token that so many sets of one run hold is hot; MANY stands for the number of its sets.
+HOT, MANY = 64, 1 << 20
 #: Longs in a sketch of a set's shared tokens.
 WORDS = 16
 #: Rounds in which a set is compared with one central set, before all pairs that are left.
 ROUNDS = 3
 U = np.uint64
+KINDS = {"sign": U, "size": np.uint32, "token": U, "freq": np.uint32}
 
 
 def least_common(n: int) -> int:
@@ -73,15 +77,53 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, sign of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             s = Sets(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s.size.astype(np.int64)), pa.array(s.sign.view(np.int64))], ["doc_id", "n_shingles", "sign"])
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sign long")
 
 
-def postings(docs: DataFrame, buckets: int) -> DataFrame:
-    """Tokens of every slice's distinct sets, by ranges of the token: (bucket, signs, sizes, token, set), packed."""
+POSTED = pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ("signs", "sizes", "token", "set"))])
+POSTINGS = "bucket long, signs binary, sizes binary, token binary, set binary"
+SHARED = pa.schema([("part", pa.int64()), *((k, pa.binary()) for k in ("sign", "size", "token", "freq"))])
+
+
+def posted(bucket: np.ndarray, cut: np.ndarray, token: np.ndarray, sign: np.ndarray, size: np.ndarray) -> pa.Table:
+    """A row for each bucket, of the postings from its cut to the next."""
+    rows = []
+    for i in range(len(bucket)):
+        part = slice(cut[i], cut[i + 1])
+        used, first, back = np.unique(sign[part], return_index=True, return_inverse=True)
+        rows.append((packed(used), packed(size[part][first].astype(np.uint32)), packed(token[part]), packed(back.astype(np.uint32))))
+    return pa.Table.from_arrays([pa.array(bucket, pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(4))], schema=POSTED)
+
+
+def dealt(token: np.ndarray, sign: np.ndarray, size: np.ndarray, width: int) -> pa.Table:
+    """Postings of one run, sorted by token and set, by ranges of the token. A token that HOT sets of the run hold, or that is marked as
+    held so elsewhere, is known to be shared: its postings needn't meet, go by ranges of the set (buckets below 0), and leave a mark (set
+    0). So a token that every document holds fills no range: each run keeps fewer than HOT of its postings, and merging runs sheds more."""
+    at = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    n = np.diff(np.append(at, len(token)))
+    hot = (n >= HOT) | (sign[at] == 0)
+    often = np.repeat(hot, n)
+    t, s, z = token[~often], sign[~often], size[~often]
+    if not hot.any():
+        return posted(*cuts(t, width), t, s, z)
+    marks = token[at][hot]
+    t, s, z = np.append(t, marks), np.append(s, np.zeros(len(marks), U)), np.append(z, np.zeros(len(marks), z.dtype))
+    o = np.argsort(t, kind="stable")
+    cold = posted(*cuts(t[o], width), t[o], s[o], z[o])
+    often &= sign != 0
+    o = np.argsort(sign[often], kind="stable")
+    t, s, z = token[often][o], sign[often][o], size[often][o]
+    bucket, cut = cuts(s, width)
+    return pa.concat_tables([cold, posted(-1 - bucket, cut, t, s, z)])
+
+
+def postings(docs: DataFrame, width: int) -> DataFrame:
+    """Tokens of every slice's distinct sets, dealt() in `width` ranges, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
@@ -91,52 +133,70 @@ def postings(docs: DataFrame, buckets: int) -> DataFrame:
             of = np.repeat(np.arange(len(s.size)), s.size)
             use = once[of]
             token, of = s.tokens[use], of[use]
-            if not len(token):
-                continue
             o = np.argsort(token)
-            token, of = token[o], of[o]
-            bucket, cut = cuts(token, buckets)
-            rows = []
-            for i in range(len(bucket)):
-                used, back = np.unique(of[cut[i] : cut[i + 1]], return_inverse=True)
-                rows.append((int(bucket[i]), packed(s.sign[used]), packed(s.size[used].astype(np.uint32)), packed(token[cut[i] : cut[i + 1]]), packed(back.astype(np.uint32))))
-            c = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])], ["bucket", "signs", "sizes", "token", "set"])
+            of = of[o]
+            yield from dealt(token[o], s.sign[of], s.size[of], width).to_batches()
+            release()
+
+    return docs.select("text").mapInArrow(run, POSTINGS)
+
+
+def merged(table: pa.Table, by_token: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token, set and size of the postings of several runs, sorted by token and set (or set and token), each posting once."""
+    at = [unpacked(x, np.uint32) for x in table.column("set").to_pylist()]
+    sign = np.concatenate([unpacked(x, U)[i] for x, i in zip(table.column("signs").to_pylist(), at, strict=True)])
+    size = np.concatenate([unpacked(x, np.uint32)[i] for x, i in zip(table.column("sizes").to_pylist(), at, strict=True)])
+    token = joined(table.column("token").to_pylist(), U)
+    o = np.lexsort((sign, token) if by_token else (token, sign))
+    token, sign, size = token[o], sign[o], size[o]
+    new = np.append(True, (token[1:] != token[:-1]) | (sign[1:] != sign[:-1]))
+    return token[new], sign[new], size[new]
 
-    return docs.select("text").mapInArrow(run, "bucket long, signs binary, sizes binary, token binary, set binary")
 
+def shared(post: DataFrame, buckets: int, fan: int = FAN) -> DataFrame:
+    """Tokens that occur in two sets or more, with that number (MANY for hot ones), dealt by set: (part, sign, size, token, freq), packed."""
+    wide = widths(buckets, fan)
 
-def shared(post: DataFrame, buckets: int) -> DataFrame:
-    """Tokens that occur in two sets or more, with that number, dealt by set: (part, sign, size, token, freq), packed."""
+    def finer(width: int) -> Callable:
+        def run(table: pa.Table) -> pa.Table:
+            if table.column("bucket")[0].as_py() >= 0:
+                return dealt(*merged(table), width)
+            token, sign, size = merged(table, False)
+            bucket, cut = cuts(sign, width)
+            return posted(-1 - bucket, cut, token, sign, size)
+
+        return run
+
+    def finer_sets(width: int) -> Callable:
+        return lambda table: by_set(*(joined(table.column(k).to_pylist(), KINDS[k]) for k in KINDS), width)
 
     def gather(table: pa.Table) -> pa.Table:
-        sign, size, token = [], [], []
-        for r in table.to_pylist():
-            at = unpacked(r["set"], np.uint32)
-            sign.append(unpacked(r["signs"], np.uint64)[at])
-            size.append(unpacked(r["sizes"], np.uint32)[at])
-            token.append(unpacked(r["token"], np.uint64))
-        sign, size, token = map(np.concatenate, (sign, size, token))
-        o = np.lexsort((sign, token)) if len(table) > 1 else np.arange(len(token))
-        sign, size, token = sign[o], size[o], token[o]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (sign[1:] != sign[:-1])  # a set that several slices hold counts once
-        sign, size, token = sign[new], size[new], token[new]
-        at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        n = np.diff(np.append(at, len(token)))
-        freq = np.repeat(n, n)
-        use = freq > 1
-        sign, size, token, freq = sign[use], size[use], token[use], freq[use]
+        if table.column("bucket")[0].as_py() < 0:
+            token, sign, size = merged(table, False)
+            freq = np.full(len(token), MANY, np.uint32)
+        else:
+            token, sign, size = merged(table)
+            at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            n = np.diff(np.append(at, len(token)))
+            freq = np.repeat(np.where(sign[at] == 0, MANY, n), n).astype(np.uint32)
+            use = (freq > 1) & (sign != 0)
+            sign, size, token, freq = sign[use], size[use], token[use], freq[use]
+        return by_set(sign, size, token, freq, wide[0])
+
+    def by_set(sign: np.ndarray, size: np.ndarray, token: np.ndarray, freq: np.ndarray, width: int) -> pa.Table:
         o = np.argsort(sign, kind="stable")
-        sign, size, token, freq = sign[o], size[o], token[o], freq[o].astype(np.uint32)
-        if not len(sign):
-            return pa.Table.from_batches([], schema=OUT)
-        part, cut = cuts(sign, buckets)
-        rows = [[packed(x[cut[i] : cut[i + 1]]) for i in range(len(part))] for x in (sign, size, token, freq)]
-        return pa.Table.from_arrays([pa.array(part, pa.int64()), *(pa.array(x, pa.binary()) for x in rows)], schema=OUT)
+        part, cut = cuts(sign[o], width)
+        rows = [[packed(x[o[cut[i] : cut[i + 1]]]) for i in range(len(part))] for x in (sign, size, token, freq)]
+        release()
+        return pa.Table.from_arrays([pa.array(part, pa.int64()), *(pa.array(x, pa.binary()) for x in rows)], schema=SHARED)
 
-    OUT = pa.schema([("part", pa.int64()), *((k, pa.binary()) for k in ("sign", "size", "token", "freq"))])
-    return post.groupBy("bucket").applyInArrow(gather, "part long, sign binary, size binary, token binary, freq binary")
+    kinds = "part long, sign binary, size binary, token binary, freq binary"
+    for before, width in zip(wide, wide[1:], strict=False):
+        post = salted(post, "bucket", "token", buckets, before).applyInArrow(finer(width), POSTINGS)
+    found = post.groupBy("bucket").applyInArrow(gather, kinds)
+    for before, width in zip(wide, wide[1:], strict=False):
+        found = salted(found, "part", "token", buckets, before).applyInArrow(finer_sets(width), kinds)
+    return found
 
 
 def sketch(tokens: np.ndarray) -> list[int]:
@@ -194,9 +254,10 @@ def indexed(found: DataFrame) -> DataFrame:
     thousandths), and (sign, n, tokens) with their sorted shared tokens."""
 
     def gather(table: pa.Table) -> pa.Table:
-        cols = {k: np.concatenate([unpacked(r[k], t) for r in table.select([k]).to_pylist()]) for k, t in (("sign", np.uint64), ("size", np.uint32), ("token", np.uint64), ("freq", np.uint32))}
-        o = np.lexsort((cols["token"], cols["freq"], cols["sign"]))
-        sign, size, token, freq = (cols[k][o] for k in ("sign", "size", "token", "freq"))
+        sign, size, token, freq = (joined(table.column(k).to_pylist(), KINDS[k]) for k in KINDS)
+        o = np.lexsort((token, freq, sign))
+        o = o[np.append(True, (sign[o[1:]] != sign[o[:-1]]) | (token[o[1:]] != token[o[:-1]]))]  # hot postings of several runs
+        sign, size, token, freq = sign[o], size[o], token[o], freq[o]
         at = np.flatnonzero(np.append(True, sign[1:] != sign[:-1]))
         end = np.append(at[1:], len(sign))
         signs, sizes, sharing, all_entries, central, blobs, marks = [], [], [], [], [], [], []
@@ -210,6 +271,7 @@ def indexed(found: DataFrame) -> DataFrame:
                 central += [int(freq[a:b].sum() * 1000 // int(size[a]))] * (len(e) + 1)
                 marks += [None] * len(e) + [sketch(token[a:b])]
                 blobs += [None] * len(e) + [packed(np.sort(token[a:b]))]
+        release()
         return pa.Table.from_arrays([pa.array(np.array(signs, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.array(np.array(sharing, np.int64)), pa.concat_arrays(all_entries) if all_entries else pa.array([], pa.int64()), pa.array(central, pa.int64()), pa.array(blobs, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], schema=OUT)
 
     OUT = pa.schema([("sign", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("entry", pa.int64()), ("central", pa.int64()), ("tokens", pa.binary()), ("sketch", pa.list_(pa.int64()))])
@@ -229,6 +291,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(10 * both >= TENTHS * (n + m - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+            release()
 
     left = sets.select(F.col("sign").alias("a"), "n", F.col("tokens").alias("x"))
     right = sets.select(F.col("sign").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
@@ -238,7 +301,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(docs: DataFrame) -> DataFrame:
     """Links (a, b) between signatures of different sets, enough to connect what the join connects."""
     buckets = n_buckets(docs, RANGE)
-    index = stored(indexed(shared(postings(docs, buckets), buckets)), "sets")
+    index = stored(indexed(shared(postings(docs, widths(buckets)[0]), buckets)), "sets")
     sets = index.where("entry is null").select("sign", "n", "tokens")
     entry = index.where("entry is not null").select("entry", "sign", "n", "s", "central")
     member = stored(entry.join(entry.groupBy("entry").count().where("count > 1").select("entry"), "entry"), "members")
@@ -307,8 +370,9 @@ def signed(docs: DataFrame) -> DataFrame:
     """docs with the signature of each row's text as __sign."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(Sets(b.column("text")).sign.view(np.int64))], [*b.schema.names, "__sign"])
+            release()
 
     kinds = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns] + ["__sign long"])
     return docs.mapInArrow(run, kinds)
