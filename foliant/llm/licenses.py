@@ -110,11 +110,12 @@ def names(tokens: list[str]) -> set[str]:
 
 def longest(t: str, at: int, end: int) -> list[str]:
     """Tokens of the longest valid expression that starts at `at`, none if there isn't any. Stops where no more can follow."""
-    tokens, ends, deep, operand = [], [], 0, True
+    tokens, ends, deep, operand, last = [], [], 0, True, at
     for m in TOKEN.finditer(t, at, end):
         x = m[0].rstrip(".:-")
-        if not x or operand == (x == ")" or x.lower() in RANK):
+        if not x or operand == (x == ")" or x.lower() in RANK) or t[last : m.start()].strip(" \t"):
             break
+        last = m.start() + len(x)  # a mark after an identifier, or any other sign, ends the expression
         deep += (x == "(") - (x == ")")
         if deep < 0:
             break
@@ -157,13 +158,17 @@ def scan(t: bytes) -> dict:
     words = t.translate(WORDS).split()
     line = " " + b" ".join(words).decode("utf-8", "replace") + " "
     places: list[int] = []
+    spaces = seen = 0  # spaces before the character `seen`
     base: set[str] = set()
     labels: dict[str, float] = {}
     expressions: list[str] = []
     tagged = False
     for end, p in automaton().iter(line):
         if p in BASE:
-            places.append(line.count(" ", 0, end - len(p)) - 1)
+            begin = end - len(p)
+            spaces += line.count(" ", seen, begin) - line.count(" ", begin, seen)
+            seen = begin
+            places.append(spaces - 1)
             base.add(BASE[p])
         elif p == TAG:
             tagged = True
