@@ -12,6 +12,8 @@ class Boosted:
         self.depth, self.rounds, self.rate, self.l2 = depth, rounds, rate, l2
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.start, self.slope, self.shift = 0.0, 1.0, 0.0
+        #: Thresholds by kind, where the model has them.
+        self.least: dict[str, float] = {}
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         n, m = x.shape

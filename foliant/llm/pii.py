@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
-from .common import slices
+from .common import release, slices
 
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "national", "mac")
 BASE_KINDS = KINDS[:4]
@@ -46,8 +46,9 @@ QUOTED = re.compile(r"(?:token|secret|passw(?:or)?d|passphrase|passcode|api[_ -]
 LEAST, LEAST_CUED = 16, 8
 CUES = re.compile(r"token|secret|password|passwd|passphrase|passcode|api[_ -]?key|bearer|key|ssn|social|iban|account|phone|tel|call|fax|mobile|mac\b|contact", re.I)
 AGAINST = re.compile(r"version|sha|commit|md5|hash|order|invoice|isbn|page|checksum|total|price|date|build", re.I)
-#: A proposed span is redacted if its calibrated probability is at least this.
-THRESHOLD = {"secret": 0.7, "iban": 0.7, "national": 0.7, "mac": 0.7, "phone": 0.7}
+#: A proposed span is redacted if its calibrated probability is at least its kind's threshold: the lowest at which this share of the
+#: spans over it is personal or secret in the rows that calibrate.
+PRECISION = 0.97
 CONTEXT = 32
 TRAIN_ROWS = 1600
 
@@ -177,13 +178,27 @@ def invented(rows: int, seed: int = 7) -> list[tuple[str, str, int, int, int]]:
     return out
 
 
+def thresholds(kinds: list[str], p: np.ndarray, y: np.ndarray) -> dict[str, float]:
+    """Per kind the lowest probability (0.05 at least) from which on PRECISION holds; over 1 (never) where none does."""
+    out = {}
+    for k in KINDS:
+        mine = np.array([x == k for x in kinds])
+        order = np.argsort(-p[mine], kind="stable")
+        q, right = p[mine][order], np.cumsum(y[mine][order]) / np.arange(1, mine.sum() + 1)
+        ok = np.flatnonzero((right >= PRECISION) & (np.append(q[1:], -1) < q))
+        out[k] = max(0.05, float(q[ok[-1]])) if len(ok) else 1.1
+    return out
+
+
 @lru_cache(1)
 def model() -> Boosted:
-    """Trained once in the driver: 3 of 4 rows fit the trees, the others calibrate."""
+    """Trees and thresholds, trained once in the driver: 3 of 4 rows fit the trees, the others calibrate and choose the thresholds."""
     rows = invented(TRAIN_ROWS)
     x, y = np.array([features(t, k, a, b) for t, k, a, b, _ in rows]), np.array([r[4] for r in rows], float)
     held = np.arange(len(y)) % 4 == 0
-    return Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
+    trees = Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
+    trees.least = thresholds([r[1] for r, h in zip(rows, held, strict=True) if h], trees.predict(x[held]), y[held])
+    return trees
 
 
 def chosen(t: str, trees: Boosted, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -194,7 +209,7 @@ def chosen(t: str, trees: Boosted, base: list[tuple[str, int, int]]) -> list[tup
     p = trees.predict(np.array([features(t, *c) for c in cand]))
     taken: list[tuple[str, int, int]] = []
     for i in sorted(range(len(cand)), key=lambda i: (-p[i], cand[i][1], KINDS.index(cand[i][0]))):
-        if p[i] >= THRESHOLD[cand[i][0]] and not any(a < cand[i][2] and cand[i][1] < b for _, a, b in taken):
+        if p[i] >= trees.least[cand[i][0]] and not any(a < cand[i][2] and cand[i][1] < b for _, a, b in taken):
             taken.append(cand[i])
     return sorted(base + taken, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -213,29 +228,36 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+RESULT = {"n_email": pa.int64(), "n_ip": pa.int64(), "n_card": pa.int64(), "n_phone": pa.int64(), "base_sha256": pa.string(), "spans": pa.string(), "n_spans": pa.int64()}
+
+
 def personal(docs: DataFrame, replace: bool = False, text: str = "text") -> DataFrame:
-    """The columns of docs except text, with n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans; replace: with text, its
-    spans redacted (null stays null). Null and empty texts have no spans; repeated rows give equal rows; an empty table gives no rows.
+    """The columns of docs except text, with n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans and n_spans (all of them);
+    columns of docs by these names give way. replace: the columns of docs alone, the spans of the text redacted (null stays null). Null
+    and empty texts have no spans; repeated rows give equal rows; an empty table gives no rows; very long texts are gone through whole.
     Offsets count code points. One narrow pass."""
     trees = model()
-    kept = [c for c in docs.columns if replace or c != text]
-    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    kept = [c for c in docs.columns if replace or (c != text and c not in RESULT)]
+    names = [] if replace else list(RESULT)
+
+    def findings(base: list[tuple[str, int, int]], spans: list[tuple[str, int, int]]) -> tuple:
+        n = [sum(k == x for k, _, _ in base) for x in BASE_KINDS]
+        return (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = ((0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), ""), None)
+        none = findings([], [])
         for b in slices(batches, text):
-            rows = []
+            rows, texts = [], []
             for t in b.column(text).to_pylist():
-                if not t:
-                    rows.append((none[0], t))
-                    continue
-                base = base_spans(t)
-                spans = chosen(t, trees, base)
-                n = [sum(k == x for k, _, _ in base) for x in BASE_KINDS]
-                rows.append(((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)), redacted(t, spans) if replace and spans else t))
-            c = list(zip(*(r[0] for r in rows), strict=True))
-            cols = [pa.array([r[1] for r in rows], pa.string()) if k == text else b.column(k) for k in kept]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4]), pa.array(c[5])], [*kept, *names])
-
-    kinds = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"])
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(run, kinds)
+                base = base_spans(t) if t else []
+                spans = chosen(t, trees, base) if t else []
+                rows.append(findings(base, spans) if spans else none)
+                texts.append(redacted(t, spans) if spans else t)
+            cols = [pa.array(texts, pa.string()) if k == text else b.column(k) for k in kept]
+            if names:
+                cols += [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), RESULT.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, [*kept, *names])
+            release()
+
+    kinds = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{k} {'long' if RESULT[k] == pa.int64() else 'string'}" for k in names])
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])]).mapInArrow(run, kinds)
