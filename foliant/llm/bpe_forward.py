@@ -28,9 +28,11 @@ class ForwardBPE:
         self.nodes: dict = {}
         self.valid: dict = {}
         self.apart: dict = {}
+        #: By token: the two tokens of its last merge and that merge's priority; None for one symbol.
+        self.made: dict = {}
 
     def merged(self, s) -> list:
-        """The encoding of s by merging, as tokens. Used on single tokens and pairs of tokens only."""
+        """The encoding of s by merging, as tokens. Used on single tokens only; notes how one that encodes as itself is made."""
         parts: list = [s[i : i + 1] for i in range(len(s))]
         right, left = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
         heap: list = []
@@ -40,19 +42,23 @@ class ForwardBPE:
             if j >= 0 and (r := self.rank(parts[i], parts[j])) is not None:
                 heapq.heappush(heap, (r, i, parts[i], parts[j]))
 
+        last = None
         for i in range(len(parts)):
             offer(i)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = right[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
             parts[i], parts[j] = a + b, None
+            last = (a, b, r)
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             offer(left[i])
             offer(i)
+        if parts[0] == s:
+            self.made[s] = last
         return [p for p in parts if p is not None]
 
     def is_token(self, t) -> bool:
@@ -63,12 +69,38 @@ class ForwardBPE:
         return ok
 
     def stays_apart(self, a, b) -> bool:
+        """Whether tokens a and b, side by side, are encoded as these two. Their merges are undone from the last to the first; at each
+        stage the symbols at the border must not merge before the merge that was undone takes one of them away. Of equal priorities
+        the left merge goes first."""
         if (ok := self.apart.get((a, b))) is None:
             if len(self.apart) > 1_000_000:
                 self.apart.clear()
-            ok = self.apart[a, b] = self.merged(a + b) == [a, b]
+            ok = self.apart[a, b] = self._apart(a, b)
         return ok
 
+    def _tree(self, t) -> tuple | None:
+        if t not in self.made:
+            if len(self.made) > 1_000_000:
+                self.made.clear()
+            self.merged(t)
+        return self.made[t]
+
+    def _apart(self, x, y) -> bool:
+        rank, limit, also = self.rank, None, False
+        left, right = self._tree(x), self._tree(y)
+        while True:
+            r = rank(x, y)
+            if r is not None and (limit is None or r < limit or (also and r == limit)):
+                return False
+            if left is None and right is None:
+                return True
+            if right is None or (left is not None and left[2] > right[2]):
+                x, limit, also = left[1], left[2], False
+                left = self._tree(x)
+            else:
+                y, limit, also = right[0], right[2], True
+                right = self._tree(y)
+
     def states(self, words: Iterable) -> Iterator[tuple[object, list, list[int]]]:
         """For each of the sorted words: the word, the last token of each of its prefixes, and their token counts (index: prefix
         length). Both lists are reused; copy what is to be kept. A symbol outside the vocabulary counts as len(single(symbol))."""

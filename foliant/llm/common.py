@@ -6,7 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +23,33 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a local one of our own where it is unset."""
+    """This application's folder in the one that all machines share, spark.checkpoint.dir. Where that is unset, a local one is set in
+    local mode (as in tests); elsewhere it is an error, as executors would write to disks of their own. The folder goes when the
+    application ends."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         d = "file://" + os.path.join(tempfile.gettempdir(), "foliant-shared")
         spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+    folder = f"{d.rstrip('/')}/foliant-{spark.sparkContext.applicationId}"
+    if folder not in _temporary:
+        _temporary.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return folder
+
+
+_temporary: set[str] = set()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage, survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,6 +85,27 @@ def byte_texts(arr: pa.Array) -> list[bytes]:
     return arr.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
+class Recent:
+    """Values by key in two generations: a full one becomes the old one, and what is used from the old one moves over."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def lacks(self, keys: Iterable) -> list:
+        """Keys without a value; the others are in `new` from now on."""
+        out = []
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        for k in keys:
+            if k not in new:
+                if (v := old.get(k)) is None:
+                    out.append(k)
+                else:
+                    new[k] = v
+        return out
+
+
 def n_buckets(docs: DataFrame, each: int, text: str = "text") -> int:
     """How many buckets of about `each` text bytes the column fills: grows with the input, one at least."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
@@ -153,4 +189,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components haven't settled after {rounds} rounds")
     return e.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("id"), "label")

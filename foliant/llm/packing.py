@@ -13,7 +13,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, slices, stored
+from .common import Recent, release, slices, stored
 from .tokens import byte_symbols
 
 #: Word parts kept with their ids in a Python worker, in each of two generations (about 200 bytes each).
@@ -37,27 +37,6 @@ PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 BREAK = 0xFFFFFFFF
 
 
-class Recent:
-    """Values by key in two generations: a full one becomes the old one, and what is used from the old one moves over."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def lacks(self, keys: Iterable) -> list:
-        """Keys without a value; the others are in `new` from now on."""
-        out = []
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        for k in keys:
-            if k not in new:
-                if (v := old.get(k)) is None:
-                    out.append(k)
-                else:
-                    new[k] = v
-        return out
-
-
 class Ids:
     """Token ids of texts by the tokenizers library. White space always parts words in vocabularies of this kind (its pattern never
     crosses it and no special string holds it). The distinct words of a batch are divided into the parts that the vocabulary's pattern
