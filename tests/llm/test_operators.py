@@ -225,7 +225,7 @@ def test_webp():
     for i in range(45):
         h, w, k = int(r.integers(1, 20)), int(r.integers(1, 30)), int(r.choice([1, 2, 3, 9, 40]))
         p = r.integers(0, 2**32, k, dtype=np.uint32)[r.integers(0, k, (h, w))]
-        data = webp.encode(p, predictor=[None, *range(14)][i % 15], multipliers=[None, 0xFF1203F0][i % 2], green=i % 4 > 1, palette=i % 5 == 0, cache_bits=[0, 1, 5, 11][i % 4])
+        data = webp.encode(p, predictor=[None, *range(14)][i % 15], multipliers=[None, 0xFF1203F0][i % 2], green=i % 4 > 1, palette=i % 5 == 0, cache_bits=[0, 1, 5, 11][i % 4], groups=[1, 2, 3][i % 3])
         assert (webp.decode(data) == p).all()
     for t in (b"", b"a", b"a" * 576, bytes(range(256)) * 9):
         assert media.read_back(media.stored_form(media.payload(t))).tobytes() == media.payload(t)
