@@ -100,13 +100,13 @@ def posted(bucket: np.ndarray, cut: np.ndarray, token: np.ndarray, sign: np.ndar
     return pa.Table.from_arrays([pa.array(bucket, pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(4))], schema=POSTED)
 
 
-def dealt(token: np.ndarray, sign: np.ndarray, size: np.ndarray, width: int) -> pa.Table:
-    """Postings of one run, sorted by token and set, by ranges of the token. A token that HOT sets of the run hold, or that is marked as
+def dealt(token: np.ndarray, sign: np.ndarray, size: np.ndarray, width: int, least: int) -> pa.Table:
+    """Postings of one run, sorted by token and set, by ranges of the token. A token that `least` sets of the run hold, or that is marked as
     held so elsewhere, is known to be shared: its postings needn't meet, go by ranges of the set (buckets below 0), and leave a mark (set
-    0). So a token that every document holds fills no range: each run keeps fewer than HOT of its postings, and merging runs sheds more."""
+    0). So a token that every document holds fills no range: each run keeps fewer than `least` of its postings, and merging runs sheds more."""
     at = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     n = np.diff(np.append(at, len(token)))
-    hot = (n >= HOT) | (sign[at] == 0)
+    hot = (n >= least) | (sign[at] == 0)
     often = np.repeat(hot, n)
     t, s, z = token[~often], sign[~often], size[~often]
     if not hot.any():
@@ -135,7 +135,7 @@ def postings(docs: DataFrame, width: int) -> DataFrame:
             token, of = s.tokens[use], of[use]
             o = np.argsort(token)
             of = of[o]
-            yield from dealt(token[o], s.sign[of], s.size[of], width).to_batches()
+            yield from dealt(token[o], s.sign[of], s.size[of], width, HOT).to_batches()
             release()
 
     return docs.select("text").mapInArrow(run, POSTINGS)
@@ -160,7 +160,7 @@ def shared(post: DataFrame, buckets: int, fan: int = FAN) -> DataFrame:
     def finer(width: int) -> Callable:
         def run(table: pa.Table) -> pa.Table:
             if table.column("bucket")[0].as_py() >= 0:
-                return dealt(*merged(table), width)
+                return dealt(*merged(table), width, HOT)
             token, sign, size = merged(table, False)
             bucket, cut = cuts(sign, width)
             return posted(-1 - bucket, cut, token, sign, size)

@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices
+from .common import byte_texts, release, slices
 
 #: Labelled rows of each class that are used at most: those with the smallest hash of their id.
 SAMPLE = 600
+#: Longer texts (in bytes) aren't learned from; all are scored.
+SAMPLE_BYTES = 1 << 16
 #: A document is kept if its calibrated probability of being good is at least this.
 KEEP = 0.35
 BITS = 16
@@ -116,12 +118,13 @@ def fit(texts: list[bytes], good: list[int], rounds: int = 300, rate: float = 4.
     return {"weights": (w * scale * slope).reshape(families, -1).astype(np.float32), "bias": b * slope + shift, "held_accuracy": float(((slope * z + shift > 0) == (t > 0)).mean()) if len(t) else None}
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """A model from labelled documents: at most `sample` rows of each class, those with the smallest hash of doc_id (the bound keeps
-    what is collected and broadcast small; it doesn't touch the rows that are scored). None where a class has no row."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> dict | None:
+    """A model from labelled documents: at most `sample` rows of each class, those with the smallest hash of doc_id, of texts of at most
+    `most_bytes` (both bounds keep what is collected small; they don't touch the rows that are scored). None where a class has no row."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).collect()
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    rows = short.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).collect()
     if len({r["quality"] for r in rows}) < 2:
         return None
     return fit([(r["text"] or "").encode() for r in rows], [r["quality"] for r in rows])
@@ -131,24 +134,41 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 KINDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_score double, kept boolean"
 
 
+def verdicts(texts: list[bytes], model: dict | None, keep: float) -> list[tuple]:
+    rows = []
+    for t in texts:
+        n, chars, symbols, dup, rep, words = measures(t)
+        failed = n < 10 or 100 * rep > 20 * n
+        p = None
+        if model is not None:
+            p = float(1 / (1 + np.exp(-min(30.0, max(-30.0, score(model["weights"], model["bias"], t, words))))))
+        rows.append((n, chars, symbols, dup, rep, failed, p, not failed and (p is None or p >= keep)))
+    return rows
+
+
 def judge(docs: DataFrame, model: dict | None, keep: float = KEEP, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keys and the measures, score and verdict of every row. Null and empty texts have no words and fail the base rule. Without a
-    model (no labelled rows of both classes) the score is null and the base rule decides. Rows that repeat are judged alike. One
-    narrow pass."""
+    """keys (but for those that have a name of the measures) and the measures, score and verdict of every row. Null and empty texts have
+    no words and fail the base rule. Without a model (no labelled rows of both classes) the score is null and the base rule decides.
+    Rows that repeat are judged alike; very long texts are judged whole; an empty table gives no rows. One narrow pass."""
+    keys = tuple(k for k in keys if k not in NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
-            rows = []
-            for t in byte_texts(b.column(text)):
-                n, chars, symbols, dup, rep, words = measures(t)
-                failed = n < 10 or 100 * rep > 20 * n
-                p = None
-                if model is not None:
-                    p = float(1 / (1 + np.exp(-min(30.0, max(-30.0, score(model["weights"], model["bias"], t, words))))))
-                rows.append((n, chars, symbols, dup, rep, failed, p, not failed and (p is None or p >= keep)))
-            c = list(zip(*rows, strict=True))
+            c = list(zip(*verdicts(byte_texts(b.column(text)), model, keep), strict=True))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(x, pa.int64()) for x in c[:5]), pa.array(c[5]), pa.array(c[6], pa.float64()), pa.array(c[7])], [*keys, *NAMES])
+            release()
 
-    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     cols = list(dict.fromkeys([*keys, text]))
-    return docs.select(*cols).mapInArrow(run, f"{kinds}, {KINDS}")
+    return docs.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(run, f"{kinds}, {KINDS}")
+
+
+def passed(docs: DataFrame, model: dict | None, keep: float = KEEP, text: str = "text") -> DataFrame:
+    """The rows of docs that judge() keeps, with their columns as they are, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            yield b.filter(pa.array([r[-1] for r in verdicts(byte_texts(b.column(text)), model, keep)], pa.bool_()))
+            release()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -241,10 +241,10 @@ def kept_words(t: bytes, at: np.ndarray, window: int = WINDOW) -> tuple[int, int
     return n, n - int(stay.sum()), b" ".join([words[i] for i in np.flatnonzero(stay)])
 
 
-def removed(docs: DataFrame, digest: bool = False, window: int = WINDOW, history: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
-    """The columns of docs with n_words and n_removed, and text without repeated words where any was removed (digest: kept_sha256 in
-    place of text, for each row). docs: doc_id (integer), text, others as they come. Null and empty texts have no words and stay as
-    they are; null ids count as one smallest id; rows that share an id are one document to each other: what starts at the same place
+def removed(docs: DataFrame, digest: bool = False, window: int = WINDOW, history: DataFrame | None = None, buckets: int | None = None, counts: bool = True) -> DataFrame:
+    """The columns of docs with n_words and n_removed (docs' own columns of these names give way; without counts: the columns of docs
+    alone), and text without repeated words where any was removed (digest: kept_sha256 in place of text, for each row). docs: doc_id
+    (integer), text, others as they come. Null and empty texts have no words and stay as they are; very long ones are a slice of their own; null ids count as one smallest id; rows that share an id are one document to each other: what starts at the same place
     isn't earlier, and a word goes if it repeats in any of them. Empty table: no rows. Other columns are carried along.
 
     docs is scanned three times; only documents with repeats are dealt to be joined with them."""
@@ -252,8 +252,8 @@ def removed(docs: DataFrame, digest: bool = False, window: int = WINDOW, history
     spark_docs = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
     buckets = buckets or n_buckets(docs, RANGE)
     found = stored(repeats(runs(docs, widths(buckets)[0], window), history, buckets), "repeats").select(F.col("doc_id").alias("__id"), F.col("at").alias("__at"))
-    names = [c for c in docs.columns if not (digest and c == "text")]
-    extra = [("n_words", pa.int64()), ("n_removed", pa.int64()), *([("kept_sha256", pa.string())] if digest else [])]
+    extra = [("n_words", pa.int64()), ("n_removed", pa.int64()), *([("kept_sha256", pa.string())] if digest else [])] if counts else []
+    names = [c for c in docs.columns if not (digest and c == "text") and c not in dict(extra)]
     kinds = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"{k} {'string' if t == pa.string() else 'long'}" for k, t in extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,11 +264,12 @@ def removed(docs: DataFrame, digest: bool = False, window: int = WINDOW, history
             raw = b.column("text").to_pylist()
             for t, x in zip(raw, lists, strict=True):
                 n, gone, kept = kept_words((t or "").encode(), unpacked(x, np.uint32).astype(np.int64) if x else np.zeros(0, np.int64), window)
-                rows.append((n, gone, hashlib.sha256(kept).hexdigest()) if digest else (n, gone))
+                rows.append((n, gone, hashlib.sha256(kept).hexdigest() if digest else None))
                 texts.append(kept.decode() if gone else t)
             c = list(zip(*rows, strict=True))
             cols = [pa.array(texts, pa.string()) if k == "text" else b.column(k) for k in names]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, t) for x, (_, t) in zip(c, extra, strict=True))], [*names, *(k for k, _ in extra)])
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, t) for x, (_, t) in zip(c, extra, strict=False))], [*names, *(k for k, _ in extra)])
+            release()
 
     n = found.count()
     if n > BROADCAST_IDS:
