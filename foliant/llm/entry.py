@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, licenses, media, packing, pieces, pii, quality, substring, tokens
+from . import jaccard, language, licenses, media, oracles, packing, pieces, pii, quality, substring, tokens
 from .common import documents
 
 
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_ngram_jaccard_join": oracles.NGRAM_JACCARD, "op8_substring_dedup": oracles.SUBSTRING}
