@@ -26,7 +26,7 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the rules or the model reject. The model learns from labelled rows of docs."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, model, keys=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return quality.passed(docs, model)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     single spaces. No document goes. Rows that share an id (null ones too) are documents of their own: they come before all others."""
     again = stored(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__shared"), F.lit(True).alias("__again")), "again")
     if again.isEmpty():
-        return _with_length(substring.removed(docs), docs.columns)
+        return _with_length(substring.removed(docs, counts=False), docs.columns)
     own = F.when(F.col("__again"), F.lit(NULL_ID + 1) + F.monotonically_increasing_id()).otherwise(F.col("doc_id").cast("long"))
     keyed = stored(docs.join(again, F.col("doc_id").eqNullSafe(F.col("__shared")), "left").withColumn("__own", own).drop("__shared", "__again"), "keyed")
-    out = substring.removed(keyed.withColumnsRenamed({"doc_id": "__was", "__own": "doc_id"}))
+    out = substring.removed(keyed.withColumnsRenamed({"doc_id": "__was", "__own": "doc_id"}), counts=False)
     return _with_length(out.drop("doc_id").withColumnRenamed("__was", "doc_id"), docs.columns)
 
 
@@ -65,7 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows lie in the shared folder."""
-    base = f"{shared_dir(spark)}/foliant/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
