@@ -213,6 +213,12 @@ def override(run: Run, args: argparse.Namespace, windows: Mapping[str, int] | No
     return run
 
 
+def described(run: Run) -> str:
+    """What a run will use, for its log."""
+    llm = f"{run.llm.model} at {run.llm.url}" if isinstance(run.llm, HttpModel) else f"{run.llm.model} on this machine"
+    return f"{run.kind}: {llm}, {type(run.tts).__name__}, {run.text.source_lang} to {run.text.target_lang}, {run.context_budget} tokens a section"
+
+
 def speech_runtime(env: Mapping[str, str] = os.environ) -> str:
     """The speech runtime: the one that TTS_RUNTIME names, else by what can be imported. Any other name is an error."""
     name = env.get("TTS_RUNTIME", "").strip().lower()

@@ -81,10 +81,3 @@ def resumed(files: DataFrame) -> DataFrame:
     content = F.when(head, F.substring("raw", end, F.length("raw"))).otherwise(F.col("raw"))
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("file_name")) - 1
     return files.where(F.col("file_name").endswith(".md")).select("doc_id", idx.cast("long").alias("section_idx"), title.alias("title"), stripped(content).alias("content"))
-
-
-def extracted(web: DataFrame, documents: DataFrame, stored: DataFrame) -> DataFrame:
-    """Sections of all sources: of web pages (doc_id, text), of documents by table of contents, and of stored files; with their mode."""
-    names = ["doc_id", "section_idx", "title", "content"]
-    tagged = lambda df, mode: df.select(*names).withColumn("mode", F.lit(mode))
-    return tagged(split_by_headings(web), "url").unionByName(tagged(documents, "pdf")).unionByName(tagged(resumed(stored), "resume"))

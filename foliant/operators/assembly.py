@@ -69,3 +69,8 @@ def compared(runs: DataFrame, key: str, run: str, text: str, seconds: str) -> Da
     t = t.withColumn("rate", F.try_divide("words", "time")).withColumn("balance", F.try_divide(F.least("s1", "s2").cast("double"), F.greatest("s1", "s2")))
     pick = lambda r, c: F.max(F.when(F.col(run) == r, F.col(c))).alias(f"{c}_{r.lower()}")
     return t.groupBy(key).agg(*[pick(r, c) for c in ("words", "pauses", "rate", "balance") for r in ("A", "B")])
+
+
+def paired(sections: DataFrame, narrations: DataFrame, keys: list[str]) -> DataFrame:
+    """Sections with their narrations by place; what has no counterpart is left out."""
+    return sections.join(narrations, keys)

@@ -152,3 +152,17 @@ def rendered(turns: DataFrame, speak: Callable[[str, str | None, float], np.ndar
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema)
     return turns.mapInArrow(run, f"{kinds}, n_samples long, wav binary")
+
+
+def final_wav(files: DataFrame, key: str, order: str, pause: int) -> DataFrame:
+    """key, n_samples and the WAV file of each key's files (key, order, wav) in order, with `pause` samples of silence between them. An
+    episode's files meet in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        body = (b"\0\0" * pause).join(x[44:] for x in table.sort_by(order).column("wav").to_pylist())
+        whole = wav(np.zeros(0, np.float32))[:40] + struct.pack("<I", len(body)) + body
+        whole = whole[:4] + struct.pack("<I", len(whole) - 8) + whole[8:]
+        return pa.table({key: table.column(key).slice(0, 1), "n_samples": pa.array([len(body) // 2], pa.int64()), "wav": pa.array([whole], pa.binary())})
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, order, "wav").groupBy(key).applyInArrow(run, f"{key} {kind}, n_samples long, wav binary")

@@ -55,11 +55,12 @@ def _whole(within: DataFrame) -> DataFrame:
 
 
 def page_tokens(secs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Token estimate of each section: characters of its pages, by prefix sums (two equi-joins, no range join), over 4."""
-    run = pages.select("doc_id", "page", F.sum("chars").over(Window.partitionBy("doc_id").orderBy("page")).alias("run"), "chars")
-    a = run.select("doc_id", F.col("page").alias("start_page"), (F.col("run") - F.col("chars")).alias("lo"))
-    b = run.select("doc_id", F.col("page").alias("end_page"), F.col("run").alias("hi"))
-    return secs.join(a, ["doc_id", "start_page"], "left").join(b, ["doc_id", "end_page"], "left").withColumn("tokens", ((F.coalesce("hi", F.lit(0)) - F.coalesce("lo", F.lit(0))) / 4).cast("long")).drop("hi", "lo")
+    """Token estimate of each section: characters of its pages over 4. A document's pages come together once, as an array beside which its
+    sections are summed, so no page is joined on its own."""
+    chars = pages.groupBy("doc_id").agg(F.collect_list(F.struct("page", "chars")).alias("__pages"))
+    mine = F.filter("__pages", lambda x: x["page"].between(F.col("start_page"), F.col("end_page")))
+    total = F.aggregate(mine, F.lit(0).cast("long"), lambda n, x: n + x["chars"].cast("long"))
+    return secs.join(chars, "doc_id", "left").withColumn("tokens", F.floor(F.coalesce(total, F.lit(0)) / 4).cast("long")).drop("__pages")
 
 
 def cleaned_headings(h: DataFrame) -> DataFrame:

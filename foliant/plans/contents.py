@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import articles, toc
+from foliant.operators import articles, extract, toc
 from foliant.plans.base import query, table
 from foliant.plans.registry import ENTRIES, PAGES, RANGES, content_ranges, entries, marked, page_text
 
@@ -144,7 +144,7 @@ def extracted_sections(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     files = docs.select("doc_id", F.lit("00_a.md").alias("file_name"), F.concat(F.lit("# A\n\n"), "source").alias("raw"))
     none = docs.where("false").select("doc_id", F.lit(0).cast("long").alias("section_idx"), F.lit("").alias("title"), F.lit("").alias("content"))
-    return articles.extracted(marked(spark, d), none, files).drop("title")
+    return extract.extracted(marked(spark, d), none, files).drop("title")
 
 
 @query(r"""with t as (select doc_id, case doc_id % 4 when 0 then coalesce(text, '') || chr(10) || '| a | b |' || chr(10) || '|---|---|' when 1 then ' 1. x' || chr(10) || coalesce(text, '') when 2 then '- x' || chr(10) || coalesce(text, '') else coalesce(text, '') end c from documents)
@@ -162,3 +162,10 @@ def context_budgets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", toc.context_budget(window).alias("budget"))
 
 
+
+
+@query(DIVIDED.replace("select doc_id, (row_number()", "select doc_id, section_idx, title, coalesce((select string_agg('p' || page, chr(10) order by page) from pre where pre.doc_id = z.doc_id and pre.page between start_page and end_page), '') \"content\" from (select doc_id, (row_number()", 1).replace(" from out", " from out) z", 1).replace(f"> {BUDGET}", "> 20").replace("(doc_id * 31 + page * 17) % 4000", "length('p' || page)"))
+def document_sections(spark: SparkSession, d: str) -> DataFrame:
+    pages = page_text(spark, d).select("doc_id", "page", F.concat(F.lit("p"), F.col("page").cast("string")).alias("text"))
+    e = entries(spark, d)
+    return extract.document_sections(e, e.groupBy("doc_id").agg((F.max("page") + 10).alias("total_pages")), pages, budget=20)

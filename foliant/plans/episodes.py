@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fn
-from foliant.operators import dialogue, models, podcast
+from foliant.operators import assembly, dialogue, models, podcast
 from foliant.plans.base import WORDS, query, table
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -113,3 +113,20 @@ def model_requests(spark: SparkSession, d: str) -> DataFrame:
     options = {"temperature": F.lit(0.5), "top_k": F.when(F.col("doc_id") % 2 == 0, 4)}
     request = models.request_json(F.col("lang"), F.lit("s"), F.col("source"), options)
     return table(spark, d, "documents").select("doc_id", models.backoff_seconds(1 + F.col("doc_id") % 2).alias("wait"), models.model_available(F.col("lang"), names).alias("available"), request.alias("request"))
+
+
+@query(rf"""with t as (select conv_id, case when role in ('user', 'assistant') then {WORDS.format('text')} * 9600 + 7200 else 28800 end n from conversations where role not in ('user', 'assistant') or {WORDS.format('text')} > 0)
+select conv_id, (sum(n) + (count(*) - 1) * 36000)::bigint n_samples, (44 + 2 * (sum(n) + (count(*) - 1) * 36000))::bigint wav_bytes from t group by 1""")
+def final_wavs(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.plans.registry import scripts
+
+    t = dialogue.turns(scripts(spark, d), "conv_id").withColumns({"voice": F.lit("af_heart"), "speed": F.lit(1.0)})
+    whole = models.final_wav(models.rendered(t), "conv_id", "turn_idx", assembly.BETWEEN["podcast"])
+    return whole.select("conv_id", "n_samples", F.length("wav").cast("long").alias("wav_bytes"))
+
+
+@query("select conv_id, turn, role, length(text)::bigint n from conversations where turn < 3")
+def paired_rows(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    told = c.where("turn < 3").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
+    return assembly.paired(c.select("conv_id", "turn", "role"), told, ["conv_id", "turn"])

@@ -299,9 +299,13 @@ def spoken_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", fn.spoken("text").alias("text"))
 
 
-@query()
+@query(f"""with secs as ({ORACLES["md_sections"]}), h as (select doc_id, section_idx, list_filter(string_split_regex(title, '\\s+'), lambda x: x <> '')[1:4] head, {WORDS.format('"content"')} n from secs)
+, w as (select doc_id, section_idx, unnest(head) word, generate_subscripts(head, 1) i from h), f as (select *, row_number() over (partition by doc_id, word order by section_idx, i) nth from w), k as (select * from f where nth = 1)
+, t as (select h.doc_id, h.section_idx, coalesce(string_agg(k.word, '|' order by k.section_idx, k.i), '') covered_topics, count(k.word) filter (k.section_idx < h.section_idx) seen from h left join k on k.doc_id = h.doc_id and k.section_idx <= h.section_idx group by 1, 2)
+select h.doc_id, h.section_idx, '[S1] About ' || array_to_string(head, ' ') || '. [S2] ' || n || ' words, after ' || seen || ' topics.' dialogue,
+ trim(string_agg(array_to_string(head, ' '), ' ') over (partition by h.doc_id order by h.section_idx)) summary, covered_topics from h join t using (doc_id, section_idx)""")
 def rolling_dialogue(spark: SparkSession, d: str) -> DataFrame:
-    return dialogue.rolled(md_sections(spark, d))
+    return dialogue.rolled(md_sections(spark, d)).withColumn("covered_topics", F.array_join("covered_topics", "|"))
 
 
 def rendered(spark: SparkSession, d: str) -> DataFrame:

@@ -128,3 +128,44 @@ def test_tee(tmp_path):
 def test_page_tables_links_images():
     html = "<h2>T</h2><p>See <a href='u'>this</a> <img src='x' alt='y'></p><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>"
     assert pages.page_markdown(html) == "## T\n\nSee this\n\n| a | b |\n|---|---|\n| 1 | 2 |"
+
+
+def test_prompts():
+    from foliant import prompts
+
+    for name in ("outline", "intro", "outro", "summary", *prompts.BLOCKS.values(), *prompts.DIALOGUES.values()):
+        text = prompts.prompt(name)
+        assert text and text == text.strip()
+    assert "{target_words}" in prompts.prompt("two_hosts")
+
+
+def test_file_backends(spark, tmp_path):
+    from foliant.sources import files
+
+    (tmp_path / "a.pdf").write_bytes(b"A")
+    (tmp_path / "b.pdf").write_bytes(b"bad")
+    (tmp_path / "c.txt").write_bytes(b"no")
+
+    def make():
+        def convert(data, pages):
+            if data == b"bad":
+                raise RuntimeError("broken")
+            return f"# {data.decode()} {pages}"
+
+        return convert
+
+    found = files.read_files(spark, str(tmp_path))
+    got = sorted((r.path[-5:], r.markdown, r.error) for r in files.to_markdown(found, "own", {"own": make}).collect())
+    assert got == [("a.pdf", "# A None", None), ("b.pdf", None, "RuntimeError: broken")]
+    some = found.where("path like '%a.pdf'").withColumn("pages", F.array(F.lit(2)))
+    assert files.to_markdown(some, "own", {"own": make}).first().markdown == "# A [2]"
+    with pytest.raises(ValueError, match="unknown backend"):
+        files.to_markdown(found, "none")
+
+
+def test_web_sections(spark):
+    from foliant.operators import extract
+
+    rows = [(1, "u", "<h1>A</h1><p>a</p><h2>B</h2><p>b</p>"), (2, "v", None), (3, "w", "<p>only</p>")]
+    got = sorted(map(tuple, extract.web_sections(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()))
+    assert got == [(1, 0, "A", "a\n\n## B\n\nb"), (3, 0, "Full article", "only")]
