@@ -71,6 +71,12 @@ def compared(runs: DataFrame, key: str, run: str, text: str, seconds: str) -> Da
     return t.groupBy(key).agg(*[pick(r, c) for c in ("words", "pauses", "rate", "balance") for r in ("A", "B")])
 
 
+def residue(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Per keys: texts, and what shouldn't be left in texts that are read aloud: line breaks, bold marks, addresses of pages."""
+    n = lambda p, name: F.sum(F.regexp_count(text, F.lit(p))).alias(name)
+    return texts.groupBy(*keys).agg(F.count("*").alias("docs"), n(r"\n", "breaks"), n(r"\*\*", "bold"), n("https?://", "urls"))
+
+
 def paired(sections: DataFrame, narrations: DataFrame, keys: list[str]) -> DataFrame:
     """Sections with their narrations by place; what has no counterpart is left out."""
     return sections.join(narrations, keys)

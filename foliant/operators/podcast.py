@@ -79,16 +79,20 @@ def in_order(intro: DataFrame, segments: DataFrame, outro: DataFrame, key: str =
 def selected(choices: DataFrame, value: str = "value", total: str = "total") -> DataFrame:
     """choices with idx, a row for each part chosen: "intro" is 0, "outro" the last, a-b all from a to b, a number itself, several parted
     by commas; what lies outside 0 to total - 1 is left out, as are ranges that run backwards. Anything else is an error."""
-    part = F.lower(stripped(F.col("__part")))
     n = F.col(total).cast("long")
-    lo, hi = stripped(F.regexp_extract(part, r"^([^-]*)-(.*)$", 1)), stripped(F.regexp_extract(part, r"^([^-]*)-(.*)$", 2))
-    number = lambda x: F.when(x.rlike(r"^[+-]?\d+(_\d+)*$"), F.replace(x, F.lit("_"), F.lit("")).cast("long")).otherwise(F.raise_error(F.concat(F.lit("not a part: "), part)).cast("long"))
-    ranged = part.contains("-")
-    a = F.when(part == "intro", 0).when(part == "outro", n - 1).when(ranged, number(lo)).otherwise(number(part))
-    b = F.when(part == "intro", 0).when(part == "outro", n - 1).when(ranged, number(hi)).otherwise(number(part))
-    rows = choices.withColumn("__part", F.explode(F.split(value, ","))).withColumns({"__a": F.greatest(a, F.lit(0)), "__b": F.least(b, n - 1)})
-    rows = rows.where("__a <= __b").withColumn("idx", F.explode(F.sequence("__a", "__b")))
-    return rows.select(*choices.columns, "idx").distinct()
+
+    def number(part: Column, x: Column) -> Column:
+        return F.when(x.rlike(r"^[+-]?\d+(_\d+)*$"), F.replace(x, F.lit("_"), F.lit("")).cast("long")).otherwise(F.raise_error(F.concat(F.lit("not a part: "), part)).cast("long"))
+
+    def of(raw: Column) -> Column:
+        part = F.lower(stripped(raw))
+        lo, hi = stripped(F.regexp_extract(part, r"^([^-]*)-(.*)$", 1)), stripped(F.regexp_extract(part, r"^([^-]*)-(.*)$", 2))
+        end = lambda x: F.when(part == "intro", 0).when(part == "outro", n - 1).when(part.contains("-"), number(part, x)).otherwise(number(part, part))
+        a, b = F.greatest(end(lo), F.lit(0)), F.least(end(hi), n - 1)
+        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+
+    every = F.array_distinct(F.flatten(F.transform(F.split(value, ","), of)))
+    return choices.withColumn("idx", F.explode(every))
 
 
 def mismatched(voices: Column, lang: Column, presets: dict[str, tuple[str, ...]] = VOICES) -> Column:

@@ -11,15 +11,43 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import stripped
 
-# Which titles are front matter, back matter or preamble.
-FRONT = r"^cover$|^half\s*title|^title\s*page|^copyright|^table\s*of\s*contents$|^contents$|^list\s*of\s*(figures|tables|illustrations)|^dedication|^epigraph|^praise\b|^endorsements?$|^also\s*by\b|^about\s*the\s*cover"
-BACK = r"^index$|^glossary$|^bibliography$|^references$|^about\s*the\s*authors?$|^colophon$|appendix|^acknowledge?ments?$|^acknowledge?ments?\s+and\b"
-PREAMBLE = r"^foreword|^preface|^introduction$"
+# Which titles are front matter, back matter or preamble; the first group that matches wins.
+FRONT = (
+    r"^cover$",
+    r"^half\s*title",
+    r"^title\s*page",
+    r"^copyright",
+    r"^table\s*of\s*contents$",
+    r"^contents$",
+    r"^list\s*of\s*(figures|tables|illustrations)",
+    r"^dedication",
+    r"^epigraph",
+    r"^praise\b",
+    r"^endorsements?$",
+    r"^also\s*by\b",
+    r"^about\s*the\s*cover",
+)
+BACK = (
+    r"^index$",
+    r"^glossary$",
+    r"^bibliography$",
+    r"^references$",
+    r"^about\s*the\s*authors?$",
+    r"^colophon$",
+    r"appendix",
+    r"^acknowledg[e]?ments?$",
+    r"^acknowledg[e]?ments?\s+and\b",
+)
+PREAMBLE = (
+    r"^foreword",
+    r"^preface",
+    r"^introduction$",
+)
 
 
 def kind(title: Column) -> Column:
     t = F.lower(F.regexp_replace(title, r"(?U)^\s+|\s+\z", ""))
-    return F.when(t.rlike(FRONT), "front").when(t.rlike(BACK), "back").when(t.rlike(PREAMBLE), "preamble").otherwise("content")
+    return F.when(t.rlike("|".join(FRONT)), "front").when(t.rlike("|".join(BACK)), "back").when(t.rlike("|".join(PREAMBLE)), "preamble").otherwise("content")
 
 
 def ranges(entries: DataFrame, totals: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fn
-from foliant.operators import articles, assembly, blocks, dialogue, toc
+from foliant.operators import articles, assembly, blocks, dialogue, podcast, toc
 from foliant.plans.base import ORACLES, QUERIES, WORDS, query, table
 from foliant.sources import pages as web
 from foliant.sources import store
@@ -87,7 +87,7 @@ NAMES = ", ".join(f"'{t}'" for t in TITLES)
 ENTRIES = f"""select l_orderkey doc_id, l_linenumber::bigint ord, (1 + l_linenumber % 3)::bigint level, ([{NAMES}])[1 + l_partkey % {len(TITLES)}] title, sum(l_quantity::bigint) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity)::bigint - 1 page
  from (select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity) = 1)"""
 KIND = r"""case when regexp_matches(title, '(?i)^cover$|^half\s*title|^title\s*page|^copyright|^table\s*of\s*contents$|^contents$|^list\s*of\s*(figures|tables|illustrations)|^dedication|^epigraph|^praise\b|^endorsements?$|^also\s*by\b|^about\s*the\s*cover') then 'front'
- when regexp_matches(title, '(?i)^index$|^glossary$|^bibliography$|^references$|^about\s*the\s*authors?$|^colophon$|appendix|^acknowledge?ments?$') then 'back' when regexp_matches(title, '(?i)^foreword|^preface|^introduction$') then 'preamble' else 'content' end"""
+ when regexp_matches(title, '(?i)^index$|^glossary$|^bibliography$|^references$|^about\s*the\s*authors?$|^colophon$|appendix|^acknowledge?ments?$|^acknowledge?ments?\s+and\b') then 'back' when regexp_matches(title, '(?i)^foreword|^preface|^introduction$') then 'preamble' else 'content' end"""
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
@@ -180,17 +180,14 @@ def heading_clean(spark: SparkSession, d: str) -> DataFrame:
 def only_selector(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("o_orderkey")
     value = F.when(o % 3 == 0, "intro").when(o % 3 == 1, "outro").otherwise(F.concat((o % 7).cast("string"), F.lit("-"), (o % 5 + 3).cast("string")))
-    total = 9
-    lo, hi = F.split_part(value, F.lit("-"), F.lit(1)).try_cast("long"), F.split_part(value, F.lit("-"), F.lit(2)).try_cast("long")
-    a = F.when(value == "intro", 0).when(value == "outro", total - 1).otherwise(F.greatest(lo, F.lit(0)))
-    b = F.when(value == "intro", 0).when(value == "outro", total - 1).otherwise(F.least(hi, F.lit(total - 1)))
-    return table(spark, d, "orders").where(a <= b).select(F.explode(F.sequence(a.cast("long"), b.cast("long"))).alias("idx"), "o_orderkey")
+    choices = table(spark, d, "orders").select("o_orderkey", value.alias("value"), F.lit(9).alias("total"))
+    return podcast.selected(choices).select("idx", "o_orderkey")
 
 
 @query("select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
 def uncached_work(spark: SparkSession, d: str) -> DataFrame:
     done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(done, "o_orderkey", "left_anti")
+    return store.uncached(table(spark, d, "orders").select("o_orderkey", "o_custkey"), done, ["o_orderkey"])
 
 
 ONE, TEN = ", ".join(f"'{w}'" for w in fn.ONES), ", ".join(f"'{w}'" for w in fn.TENS)
@@ -263,8 +260,7 @@ def progress_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""select lang, source, count(*) docs, sum(length(text) - length(replace(text, chr(10), '')))::bigint breaks, sum(len(regexp_extract_all(text, '\*\*')))::bigint bold, sum(len(regexp_extract_all(text, 'https?://')))::bigint urls from documents group by 1, 2""")
 def residue_metrics(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda p, name: F.sum(F.regexp_count("text", F.lit(p))).alias(name)
-    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("docs"), n(r"\n", "breaks"), n(r"\*\*", "bold"), n("https?://", "urls"))
+    return assembly.residue(table(spark, d, "documents"), ["lang", "source"])
 
 
 @query("select l_returnflag, l_linestatus, sum(l_quantity) sum_qty, count(*) n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2")

@@ -32,10 +32,15 @@ def stored_keys(spark: SparkSession, path: str, keys: list[str]) -> DataFrame |
         raise
 
 
+def uncached(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of work whose keys done doesn't have."""
+    return work.join(done, keys, "left_anti")
+
+
 def resume(work: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Rows of work whose keys path doesn't hold."""
     done = stored_keys(work.sparkSession, path, keys)
-    return work if done is None else work.join(done, keys, "left_anti")
+    return work if done is None else uncached(work, done, keys)
 
 
 def append(rows: DataFrame, path: str, keys: list[str]) -> None:

@@ -16,3 +16,17 @@ def test_every_document_has_sections(spark):
     ids = {r[0] for r in registry.entries(spark, sf).select("doc_id").distinct().collect()}
     for name in ("toc_whole_sections", "toc_whole_tokens"):
         assert {r["doc_id"] for r in registry.queries()[name](spark, sf).collect()} == ids
+
+
+def test_kinds_of_titles(spark):
+    from pyspark.sql import functions as F
+
+    kinds = {
+        "front": ["Cover", " COPYRIGHT ", "Half Title", "TitlePage", "Table of Contents", "Contents", "List of Tables", "Dedications", "Epigraph", "Praise for us", "Endorsement", "Also by Ann", "About the cover art"],
+        "back": ["Index", "Glossary", "Bibliography", "References", "About the Authors", "Colophon", "Appendix B", "The appendix", "Acknowledgments", "Acknowledgements and thanks"],
+        "preamble": ["Foreword by Bo", "Preface", "introduction"],
+        "content": ["Covering ground", "Contents of a box", "Index funds", "Introduction to rivers", "Praised be", "Acknowledgement letters", ""],
+    }
+    rows = [(t, k) for k, ts in kinds.items() for t in ts]
+    got = spark.createDataFrame(rows, "title string, want string").withColumn("kind", toc.kind(F.col("title"))).where("kind <> want").collect()
+    assert got == []
