@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,10 +23,24 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(cols or ("doc_id", "text")))
 
 
+#: Bytes of an Arrow batch that goes to a Python worker (one row at least).
+BATCH_BYTES = 4 << 20
+
+
+def slim(spark: SparkSession) -> None:
+    """Lets Arrow batches hold BATCH_BYTES at most where the session allows more: both the JVM and the worker hold whole batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(key, "-1").lower())
+    size = int(now[1]) << {"k": 10, "m": 20, "g": 30}.get(now[2], 0) if now and int(now[1]) > 0 else 0
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in the one that all machines share, spark.checkpoint.dir. Where that is unset, a local one is set in
     local mode (as in tests); elsewhere it is an error, as executors would write to disks of their own. The folder goes when the
     application ends."""
+    slim(spark)
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         master = spark.sparkContext.master

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, licenses, media, oracles, packing, pieces, pii, quality, substring, tokens
-from .common import documents
+from . import common, jaccard, language, licenses, media, oracles, packing, pieces, pii, quality, substring, tokens
+
+
+def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    common.slim(spark)
+    return common.documents(spark, sf_dir, *cols)
 
 
 def tokenizer_path(name: str) -> str:

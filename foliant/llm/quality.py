@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, release, slices
+from .common import byte_texts, release, slices, slim
 
 #: Labelled rows of each class that are used at most: those with the smallest hash of their id.
 SAMPLE = 600
@@ -121,6 +121,7 @@ def fit(texts: list[bytes], good: list[int], rounds: int = 300, rate: float = 4.
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> dict | None:
     """A model from labelled documents: at most `sample` rows of each class, those with the smallest hash of doc_id, of texts of at most
     `most_bytes` (both bounds keep what is collected small; they don't touch the rows that are scored). None where a class has no row."""
+    slim(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)

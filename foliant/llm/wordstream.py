@@ -12,7 +12,7 @@ U = np.uint64
 #: Word separators: space and 0x09 to 0x0D.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE, STEP = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _rng = np.random.default_rng(20240229)
 CASED = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
