@@ -94,9 +94,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
     # rows of small hash, so few that a window over each language stays small; a language has at least `sample` of them, or all it has
     near = F.xxhash64("doc_id")
     share = F.least(F.lit(1.0), F.lit(2.0 * sample + 200) / F.col("count"))
-    few = known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(near.cast("double") <= share * float(1 << 64) - float(1 << 63))
+    few = known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(near.cast("double") <= share * float(1 << 64) - float(1 << 63)).select("doc_id", "lang").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(near, "doc_id"))
-    ids = stored(few.withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "lang").distinct(), "sample")
+    ids = stored(few.withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "lang"), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -105,7 +105,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
                 counts[lang] = counts.get(lang, 0) + np.bincount(grams(t), minlength=1 << BITS)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([packed(c.astype(np.int64)) for c in counts.values()], pa.binary())], ["lang", "counts"])
 
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").repartition(8).mapInArrow(run, "lang string, counts binary")
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).repartition(8)  # an id that repeats counts once
+    rows = rows.select("lang", "text").mapInArrow(run, "lang string, counts binary")
     total: dict[str, np.ndarray] = {}
     for r in rows.collect():  # 8 tables a language at most
         total[r["lang"]] = total.get(r["lang"], 0) + unpacked(r["counts"], np.int64)
