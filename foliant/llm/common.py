@@ -30,7 +30,7 @@ BATCH_BYTES = 4 << 20
 def slim(spark: SparkSession) -> None:
     """Lets Arrow batches hold BATCH_BYTES at most where the session allows more: both the JVM and the worker hold whole batches."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(key, "-1").lower())
+    now = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(key, "64m").lower())
     size = int(now[1]) << {"k": 10, "m": 20, "g": 30}.get(now[2], 0) if now and int(now[1]) > 0 else 0
     if not 0 < size <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))

@@ -173,6 +173,10 @@ class PrefixCounter:
             total += ends[-1]
         return out
 
+    def longest_prefix(self, text: str, budget: int) -> int:
+        """Length of the longest prefix of at most budget tokens, for a text whose table isn't stored."""
+        return int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])
+
 
 @lru_cache(1)
 def counter(path: str) -> PrefixCounter:

@@ -674,6 +674,7 @@ def write_pixels(out: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, gr
     tokens: list[list[tuple[int, int, int, int]]] = []  # (code, symbol, extra, bits)
     group: list[int] = []
     across = (w + 3) >> 2
+    groups = min(groups, across * ((p.shape[0] + 3) >> 2))
     seen: dict[tuple, int] = {}
 
     def keep(i: int) -> None:
