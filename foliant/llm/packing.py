@@ -26,7 +26,7 @@ from .common import Recent, release, slices, stored
 from .tokens import byte_symbols
 
 #: Word parts kept with their ids in a Python worker, in each of two generations (about 200 bytes each).
-CACHE_PARTS = 350_000
+CACHE_PARTS = 200_000
 #: Pieces in a salted group, on average.
 GROUP = 20_000
 #: Words of ASCII and Latin-1 letters, whose lower case, normal form and classes need no tables; others go to the library whole.
