@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, jaccard, language, licenses, media, oracles, packing, pieces, pii, quality, substring, tokens
+from . import bytebpe, common, jaccard, language, licenses, media, oracles, packing, pieces, pii, quality, substring, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(docs, language.learn(docs))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
