@@ -19,3 +19,16 @@ SUBSTRING = r"""with w as (select doc_id, list_filter(regexp_split_to_array(coal
 , c as (select distinct doc_id, unnest(range(i, i + 20)) p from m)
 , x as (select doc_id, list(p) gone from c group by 1)
 select w.doc_id, len(words)::bigint n_words, coalesce(len(gone), 0)::bigint n_removed, sha256(case when gone is null then array_to_string(words, ' ') else array_to_string(list_transform(list_filter(range(1, len(words) + 1), lambda i: not list_contains(gone, i)), lambda i: words[i]), ' ') end) kept_sha256 from w left join x using (doc_id)"""
+
+#: Phrases of one to four words of each piece, counted; every cut of the frequent ones; those without a longer one around them.
+COLLOCATIONS = r"""with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\f\r]')) piece from documents)
+, w as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') words from p)
+, f as (select lang, k, g, count(*) f from (select lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: words[i:i + k - 1])) g from w, unnest([1, 2, 3, 4]) t(k) where len(words) >= k) group by all)
+, n as (select lang, sum(f)::bigint n from f where k = 1 group by 1), c as (select * from f where k > 1 and f >= 30)
+, x as materialized (select *, array_to_string(g[1:j], ' ') lg, array_to_string(g[j + 1:k], ' ') rg from (select lang, k, g, f a, unnest(range(1, k)) j from c)), s as materialized (select lang, k, array_to_string(g, ' ') s, f from f)
+, cuts as (select x.lang, x.k, x.g, x.a, l.f l, r.f r, j, (2000000::hugeint * x.a) // (l.f + r.f) score from x join s l on l.lang = x.lang and l.k = j and l.s = lg join s r on r.lang = x.lang and r.k = x.k - j and r.s = rg)
+, best as (select * from cuts qualify row_number() over (partition by lang, g order by score, j) = 1)
+, subs as (select lang, g[i:i + m - 1] g, max(f) f from c, unnest([2, 3]) t(m), unnest([1, 2, 3]) u(i) where m < k and i + m - 1 <= k group by all)
+, kept as (select b.*, array_to_string(b.g, ' ') phrase from best b left join subs s using (lang, g) where s.f is null or 100 * s.f < 80 * b.a)
+, ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint score from ranked join n using (lang) where rank <= 2000"""
