@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, collocations, common, jaccard, language, licenses, media, oracles, packing, pieces, pii, quality, substring, tokens
+from . import bytebpe, collocations, common, divergence, jaccard, language, licenses, media, oracles, packing, pieces, pii, quality, substring, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(docs, language.learn(docs))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(documents(spark, sf_dir, "lang", "source", "text"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir, "lang", "text"))
 
@@ -77,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_jaccard_join": oracles.NGRAM_JACCARD, "op8_substring_dedup": oracles.SUBSTRING, "op12_collocations": oracles.COLLOCATIONS}
+    return {"op7_ngram_jaccard_join": oracles.NGRAM_JACCARD, "op8_substring_dedup": oracles.SUBSTRING, "op11_divergence": oracles.DIVERGENCE, "op12_collocations": oracles.COLLOCATIONS}

@@ -32,3 +32,15 @@ COLLOCATIONS = r"""with p as (select coalesce(lang, 'und') lang, unnest(regexp_s
 , kept as (select b.*, array_to_string(b.g, ' ') phrase from best b left join subs s using (lang, g) where s.f is null or 100 * s.f < 80 * b.a)
 , ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from kept)
 select lang, rank, phrase, a, l, r, n, score::bigint score from ranked join n using (lang) where rank <= 2000"""
+
+#: Counts of every kept term in every group and in its language, smoothed shares, differences of all pairs and of each group and its language.
+DIVERGENCE = r"""with d as (select row_number() over () id, coalesce(lang, '') lang, coalesce(source, '') source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') text from documents)
+, t as (select id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d)
+, k as (select lang, term from t group by 1, 2 having count(distinct id) >= 10), v as (select lang, count(*) v from k group by 1), g as (select distinct lang, source from d)
+, c as (select lang, source, term, count(*) n from t semi join k using (lang, term) group by all), m as (select lang, source, sum(n) m from c group by 1, 2)
+, p as (select g.lang, g.source, k.term, coalesce(c.n, 0) n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (coalesce(m.m, 0) + 2 * v.v) p from g join k using (lang) join v using (lang) left join m on m.lang = g.lang and m.source = g.source left join c on c.lang = g.lang and c.source = g.source and c.term = k.term)
+, q as (select lang, term, 1 + (1000000000::hugeint * (sum(n) + 2)) // (any_value(w.w) + 2 * any_value(v.v)) q from c join (select lang, sum(n) w from c group by 1) w using (lang) join v using (lang) group by 1, 2)
+, pairs as (select a.lang, a.source, 'pair' part, b.source item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all)
+, found as (select a.lang, a.source, 'pair' part, b.source item, coalesce(value, 0)::bigint value from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::bigint from p join q using (lang, term) where n > 0 and p > q)
+select * from (select *, row_number() over (partition by lang, source, part order by value desc, item)::int rank from found) where part = 'pair' or rank <= 10"""
