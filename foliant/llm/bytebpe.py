@@ -2,7 +2,10 @@
 
 A pre-token's parts form a linked list. Each rank of a merge has a bucket of the places where that merge can be made; a bitmap in levels
 of 64-bit words tells which buckets hold any, so the lowest rank is found by one find-first-set a level. Entries whose pair has changed
-since are skipped when their bucket is taken. A pre-token of n bytes takes n steps times the number of levels, whatever its length."""
+since are skipped when their bucket is taken. A pre-token of n bytes takes n steps times the number of levels, whatever its length.
+
+The pre-tokens of a text that aren't known yet share one list and one queue, so a bucket holds the places of all of them and is merged
+as arrays; very long pre-tokens have the queue to themselves, place by place."""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +25,14 @@ from .common import Recent, release, slices
 
 #: Pre-tokens kept with their ids in a Python worker, in each of two generations, and the longest (in characters) that is kept.
 CACHE_WORDS, CACHE_CHARS = 250_000, 128
+#: Bytes up to which pre-tokens share a list.
+SHORT = 1024
 #: Characters of a text that are divided into pre-tokens at once (more only where no place to cut comes).
 CHUNK = 1 << 20
 #: A space after something that isn't white space: a pre-token always begins there.
 CUT = regex.compile(r"(?<=\S) ")
+#: Stands for no token.
+GONE = 1 << 31
 
 
 class RankQueue:
@@ -51,6 +59,10 @@ class RankQueue:
                 break
             rank = at
 
+    def push_all(self, rank: int, places: list[int]) -> None:
+        self.push(rank, places[0])
+        self.buckets[rank] += places[1:]
+
     def first(self) -> int:
         """The lowest rank with a place, -1 if there is none."""
         at = 0
@@ -88,6 +100,14 @@ class ByteBPE:
         for t, r in self.ranks.items():
             self.token[r] = t
         self.longest = max(map(len, self.ranks))
+        get, ranks = self.ranks.get, self.ranks
+        pairs = np.array([(a << 32 | b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := get(t[:i], -1)) >= 0 <= (b := get(t[i:], -1))], np.int64)
+        self.pair, self.pair_rank = pairs[np.argsort(pairs[:, 0])].T.copy()
+        self.byte = np.array([ranks[bytes([x])] for x in range(256)])
+        # ranks whose token makes a pair of lower rank with some neighbour
+        self.wild = np.zeros(len(self.token), bool)
+        for part in (self.pair >> 32, self.pair & 0xFFFFFFFF):
+            self.wild[part[self.pair_rank < part]] = True
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(len(self.token))
         self.known = Recent(CACHE_WORDS)
@@ -134,24 +154,94 @@ class ByteBPE:
             i = after[i]
         return out
 
+    def ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs of tokens a, b; -1 where there is none."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.pair_rank[at], -1)
+
+    def merged_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of short pre-tokens. All lie in one list, parted by slots that pair with nothing, and share the
+        queue: pre-tokens don't touch each other, so each bucket is merged at once. Where that could change what comes first within
+        a pre-token (the new token makes a pair of lower rank), only the leftmost place of each is merged and the others wait."""
+        q, sizes = self.queue, np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = np.frombuffer(b"\0" + b"\0".join(pieces) + b"\0", np.uint8)
+        slots = np.append(0, np.cumsum(sizes + 1))
+        token = self.byte[raw]
+        token[slots] = GONE
+        n = len(token)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        of = np.append(self.ranked(token[:-1], token[1:]), -1)
+        has = np.flatnonzero(of >= 0)
+        has = has[np.argsort(of[has], kind="stable")]
+        edge = [0, *(np.flatnonzero(np.diff(of[has])) + 1).tolist(), len(has)] if len(has) else [0]
+        for x, y in zip(edge, edge[1:], strict=False):
+            q.push_all(int(of[has[x]]), has[x:y].tolist())
+        while (r := q.first()) >= 0:
+            at = np.unique(np.array(q.take(r)))
+            at = at[of[at] == r]  # the pairs of the others have changed since
+            if len(at) > 1:
+                if self.wild[r]:
+                    own = np.searchsorted(slots, at)
+                    first = np.diff(own, prepend=-1) > 0
+                    if not first.all():
+                        q.push_all(r, at[~first].tolist())
+                        at = at[first]
+                else:
+                    tied = after[at[:-1]] == at[1:]  # runs of places that overlap: every other one from the left
+                    if tied.any():
+                        i = np.arange(len(at))
+                        head = np.maximum.accumulate(np.where(np.append(True, ~tied), i, 0))
+                        at = at[(i - head) % 2 == 0]
+            elif not len(at):
+                continue
+            gone = after[at]
+            end = after[gone]
+            after[at], before[end], token[at] = end, at, r
+            token[gone], of[gone] = GONE, -1
+            left = before[at]
+            of[at] = new = self.ranked(token[at], token[end])
+            of[left] = old = self.ranked(token[left], token[at])
+            for x, ranks in ((at, new), (left, old)):
+                for i, y in zip(x[ranks >= 0].tolist(), ranks[ranks >= 0].tolist(), strict=True):
+                    q.push(y, i)
+        keep = token != GONE
+        count = np.append(0, np.cumsum(keep))[slots].tolist()
+        out = token[keep].astype("<u4").tobytes()
+        return [out[4 * x : 4 * y] for x, y in zip(count, count[1:], strict=False)]
+
+    def learn(self, words: list[str], own: dict[str, bytes]) -> None:
+        """Encodes pre-tokens: those up to CACHE_CHARS characters are kept in `known`, the others put into own."""
+        short: list[str] = []
+        raw: list[bytes] = []
+        for w in words:
+            piece = w.encode()
+            if (whole := self.ranks.get(piece)) is not None:
+                self.known.new[w] = whole.to_bytes(4, "little")
+            elif len(piece) <= SHORT:
+                short.append(w)
+                raw.append(piece)
+            else:
+                own[w] = np.array(self.merged(piece), "<u4").tobytes()
+        for w, ids in zip(short, self.merged_all(raw) if raw else (), strict=True):
+            (self.known.new if len(w) <= CACHE_CHARS else own)[w] = ids
+
     def encode(self, text: str) -> Iterator[np.ndarray]:
         """Ids of a text, in parts of about CHUNK characters."""
-        at, known = 0, self.known
+        at = 0
         while at < len(text):
             cut = CUT.search(text, at + CHUNK) if len(text) - at > CHUNK else None
             end = cut.start() if cut else len(text)
-            pieces = self.split(text if end - at == len(text) else text[at:end])
-            own: dict[str, bytes] = {}
-            for p in known.lacks(dict.fromkeys(pieces)):
-                ids = np.array(self.merged(p.encode()), np.uint32).tobytes()
-                if len(p) <= CACHE_CHARS:
-                    known.new[p] = ids
-                else:
-                    own[p] = ids
-            get = known.new.__getitem__
-            yield np.frombuffer(b"".join([own[p] if p in own else get(p) for p in pieces] if own else map(get, pieces)), "<u4")
+            yield self.encode_all([text if end - at == len(text) else text[at:end]])[0]
             at = end
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each of several texts; the pre-tokens that are new in them are encoded together."""
+        split, own = list(map(self.split, texts)), {}
+        self.learn(self.known.lacks(dict.fromkeys(chain.from_iterable(split))), own)
+        get = self.known.new.__getitem__
+        return [np.frombuffer(b"".join([own[p] if p in own else get(p) for p in w] if own else map(get, w)), "<u4") for w in split]
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 
@@ -167,6 +257,14 @@ def texts(arr: pa.Array) -> list[str]:
     return [t.decode("utf-8", "replace") for t in arr.cast(pa.binary()).fill_null(b"").to_pylist()]
 
 
+def grouped(c: ByteBPE, arr: pa.Array) -> Iterator[Iterator[np.ndarray]]:
+    """For each text the parts of its ids. Texts up to CHUNK characters are encoded together, longer ones part by part."""
+    all_ = texts(arr)
+    short = iter(c.encode_all([t for t in all_ if len(t) <= CHUNK]))
+    for t in all_:
+        yield iter([next(short)]) if len(t) <= CHUNK else c.encode(t)
+
+
 def kind(df: DataFrame, name: str) -> str:
     return f"`{name}` {df.schema[name].dataType.simpleString()}"
 
@@ -179,7 +277,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for b in slices(batches, "__text"):
-            ids = [np.concatenate([np.zeros(0, np.uint32), *c.encode(t)]).astype(np.int32) for t in texts(b.column("__text"))]
+            ids = [np.concatenate([np.zeros(0, np.uint32), *parts]).astype(np.int32) for parts in grouped(c, b.column("__text"))]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
             release()
 
@@ -206,9 +304,9 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         c = coder(path, pattern)
         for b in slices(batches, "__text"):
             rows = []
-            for t in texts(b.column("__text")):
+            for parts in grouped(c, b.column("__text")):
                 n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
-                for ids in c.encode(t):
+                for ids in parts:
                     n += len(ids)
                     of_ids.update(ids.tobytes())
                     of_bytes.update(c.decode(ids))

@@ -43,8 +43,8 @@ def test_query(spark, library):
 def test_characters(library):
     c = bytebpe.ByteBPE(PATH, P.PATTERN)
     chars = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000]
-    for start in range(0, len(chars), 997):
-        t = "".join(f"a{x} {x}{x}1" for x in chars[start : start + 997])
+    for start in range(0, len(chars), 20_011):
+        t = "".join(f"a{x} {x}{x}1" for x in chars[start : start + 20_011])
         assert ids(c, t) == library.encode_ordinary(t), hex(ord(chars[start]))
 
 
@@ -57,6 +57,16 @@ def test_random(library, seed):
         assert ids(c, t) == library.encode_ordinary(t)
 
 
+def test_alike(library, monkeypatch):
+    """Pre-tokens that share a list and those that have the queue to themselves get the same ids."""
+    r, c = random.Random(3), bytebpe.ByteBPE(PATH, P.PATTERN)
+    pieces = [bytes(r.choice(b"aaabetsin g\x00\xff") for _ in range(r.randrange(1, 40))) for _ in range(4000)] + [b"a" * n for n in range(1, 60)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.merged_all(pieces)] == [c.merged(p) if p not in c.ranks else np.frombuffer(c.merged_all([p])[0], "<u4").tolist() for p in pieces]
+    tops = [t.decode("utf-8", "ignore") for t in list(c.ranks)[::3]]
+    words = [a + b for a, b in zip(tops, reversed(tops), strict=True)]
+    assert [x.tolist() for x in c.encode_all(words)] == [library.encode_ordinary(w) for w in words]
+
+
 @pytest.mark.parametrize("unit", ["a", "abcd", " ", "\n ", "=-", "é", "random"])
 def test_long_pretokens(library, unit):
     r = random.Random(5)
