@@ -390,5 +390,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     twice = stored(twice, "twice")
     if twice.isEmpty():
         return kept.select(*docs.columns)
-    one = kept.join(few(twice), "__sign", "left_semi").dropDuplicates(["__sign"])
-    return kept.join(few(twice), "__sign", "left_anti").unionByName(one).select(*docs.columns)
+    # rows of one id and one set: the smallest text stays (then the smallest of what else is there), however often the job runs
+    of = kept.join(few(twice), "__sign", "left_semi").withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    one = of.groupBy("__sign").agg(F.min_by("__row", F.struct("text", F.to_json("__row"))).alias("__row")).select("__sign", "__row.*")
+    return kept.join(few(twice), "__sign", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -16,8 +16,6 @@ from .runs import packed, unpacked
 
 #: Rows of each language that are learned from at most: those with the smallest hash of their id.
 SAMPLE = 400
-#: Languages that are learned at most: those of most rows.
-LANGUAGES = 200
 BITS = 16
 GRAM = 4
 #: EM rounds, and the cost of each further language in the set (times half the logarithm of the number of n-grams).
@@ -85,12 +83,13 @@ def mixture(p: np.ndarray, weight: np.ndarray) -> tuple[int, float, np.ndarray]:
     return top, float(min(1.0, s[top])), s
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> dict | None:
-    """Learns from rows with a language whose crc32 of the id isn't 2 modulo 4: at most `sample` rows of each of the `languages` most
-    frequent languages, those with the smallest hash of the id (documented bounds; every row is predicted). None if there is none. What
-    comes to the driver is a table of n-gram counts of each language and partition, no texts."""
+def learn(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
+    """Learns from rows with a language whose crc32 of the id isn't 2 modulo 4: at most `sample` rows of each language, those with the
+    smallest hash of the id (a documented bound; every row is predicted); of rows that share an id and a language, the smallest text. None
+    if there is none. What comes to the driver is a table of n-gram counts of each language and partition, no texts; the model takes 256 KB
+    a language. Very long texts are learned from and predicted whole; other columns are ignored."""
     known = docs.where("lang is not null and text is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    sizes = known.groupBy("lang").count()
     # rows of small hash, so few that a window over each language stays small; a language has at least `sample` of them, or all it has
     near = F.xxhash64("doc_id")
     share = F.least(F.lit(1.0), F.lit(2.0 * sample + 200) / F.col("count"))

@@ -4,11 +4,13 @@ licence expressions that follow tags."""
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import byte_texts, slices
 
@@ -69,13 +71,16 @@ def postfix(tokens: list[str]) -> list[str]:
     return out + ops[::-1]
 
 
-def alternatives(expression: str) -> list[frozenset[str]]:
+def alternatives(expression: str, most: int = 256) -> list[frozenset[str]]:
     """The sets of licences (with exceptions, as "x with y") any one of which satisfies the expression, in order, without supersets.
-    Raises BadExpression; also where an exception is given for more than a single licence."""
+    Raises BadExpression; also where an exception is given for more than a single licence, and where a step would make more than `most`
+    sets (before it makes them). The scan doesn't need this: see evaluated()."""
     stack: list[list[frozenset[str]]] = []
     for t in postfix(TOKEN.findall(expression)):
         if t in RANK:
             b, a = stack.pop(), stack.pop()
+            if t != "with" and (len(a) + len(b) if t == "or" else len(a) * len(b)) > most:
+                raise BadExpression("too many alternatives")
             if t == "or":
                 new = a + b
             elif t == "and":
@@ -86,8 +91,6 @@ def alternatives(expression: str) -> list[frozenset[str]]:
                 new = [frozenset({f"{next(iter(a[0]))} with {next(iter(b[0]))}"})]
             new = list(dict.fromkeys(new))
             new = [x for x in new if not any(y < x for y in new)]
-            if len(new) > 256:
-                raise BadExpression("too many alternatives")
             stack.append(new)
         else:
             stack.append([frozenset({t.lower()})])
@@ -102,12 +105,42 @@ def names(tokens: list[str]) -> set[str]:
             b, a = stack.pop(), stack.pop()
             if t == "with" and len(a) + len(b) != 2:
                 raise BadExpression(t)
-            stack.append({f"{next(iter(a))} with {next(iter(b))}"} if t == "with" else a | b if len(a) < len(b) else b | a)
+            if t == "with":
+                a = {f"{a.pop()} with {b.pop()}"}
+            else:  # into the larger one
+                a, b = (a, b) if len(a) >= len(b) else (b, a)
+                a |= b
+            stack.append(a)
         else:
             stack.append({t.lower()})
     return stack[0]
 
 
+def evaluated(tokens: list[str]) -> str:
+    """The expression in one form, with `&`, `|` and `with`, in its order and with as few brackets as it needs. Parts are joined into the
+    longer one, so its length bounds the work. Raises BadExpression."""
+    stack: list[tuple[deque[str], int]] = []
+    for t in postfix(tokens):
+        if t not in RANK:
+            stack.append((deque([t.lower()]), 9))
+            continue
+        (b, right), (a, left) = stack.pop(), stack.pop()
+        for part, rank in ((a, left), (b, right)):
+            if rank < RANK[t]:
+                part.appendleft("(")
+                part.append(")")
+        sign = {"and": " & ", "or": " | ", "with": " with "}[t]
+        if len(a) >= len(b):
+            a.append(sign)
+            a.extend(b)
+        else:
+            b.appendleft(sign)
+            b.extendleft(reversed(a))
+            a = b
+        stack.append((a, RANK[t]))
+    return "".join(stack[0][0])
+
+
 def longest(t: str, at: int, end: int) -> list[str]:
     """Tokens of the longest valid expression that starts at `at`, none if there isn't any. Stops where no more can follow."""
     tokens, ends, deep, operand, last = [], [], 0, True, at
@@ -188,10 +221,7 @@ def scan(t: bytes) -> dict:
                 continue
             for name in sorted(names(tokens)):
                 labels[family(name.split(" with ")[0])] = 0.99
-            try:
-                expressions.append(" | ".join(" & ".join(sorted(s)) for s in alternatives(" ".join(tokens))))
-            except BadExpression:  # too many alternatives: as it is written
-                expressions.append(" ".join(tokens).lower())
+            expressions.append(evaluated(tokens))
     miss = 1.0
     for x in sorted(labels):
         miss *= 1 - labels[x]
@@ -203,13 +233,13 @@ KINDS = {"n_words": ("long", pa.int64()), "n_base": ("long", pa.int64()), "first
 
 def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and findings of every row. Null and empty texts: no words, no labels (empty strings), null places, score 0. Repeated rows give
-    equal rows; other columns are ignored; an empty table gives no rows. score: 1 minus the product of (1 - weight) over the labels.
+    equal rows; other columns are ignored, whatever their names; very long texts are scanned whole; an empty table gives no rows. score: 1 minus the product of (1 - weight) over the labels.
     One narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
-            rows = [scan(t) for t in byte_texts(b.column(text))]
+        for b in slices(batches, "__text"):
+            rows = [scan(t) for t in byte_texts(b.column("__text"))]
             yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array([r[k] for r in rows], t) for k, (_, t) in KINDS.items())], [key, *KINDS])
 
     kinds = ", ".join(f"{k} {s}" for k, (s, _) in KINDS.items())
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, {kinds}")
+    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {kinds}")

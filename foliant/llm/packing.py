@@ -190,31 +190,33 @@ def places(sequences: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 def packed(pieces: DataFrame, size: int = 2048, key: str = "doc_id") -> DataFrame:
     """pieces (key, piece, length, ...) with sequence_id and offset. pieces is read more than once: pass a stored table. Rows that repeat
-    wholly are placed each; an empty table gives no rows. Rank order within a length: key, piece (nulls first)."""
+    wholly are placed each; an empty table gives no rows; other columns stay, whatever their names, but for `sequence_id` and `offset`, which
+    the result's replace. Rank order within a length: key, piece (nulls first)."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     to = places(plan(counts, size))
     groups = sum(counts.values()) // GROUP + 1
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(groups)))
-    ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy(key, "piece")))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ranked.join(sizes.select("length", "salt", before.alias("before")), ["length", "salt"]).withColumn("r", F.col("r") - 1 + F.col("before"))
-    kept = pieces.columns
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(f"`{key}`", "piece"), F.lit(groups)))
+    ranked = salted.withColumn("__r", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(f"`{key}`", "piece")))
+    sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranked.join(sizes.select("length", "__salt", before.alias("__before")), ["length", "__salt"]).withColumn("__r", F.col("__r") - 1 + F.col("__before"))
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     names = [*kept, "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = to["length"] * (1 << 40) + to["rank"]
         for b in batches:
-            n, r = b.column("length").to_numpy(), b.column("r").to_numpy()
+            n, r = b.column("length").to_numpy(), b.column("__r").to_numpy()
             i = np.searchsorted(first, n * (1 << 40) + r, "right") - 1
             r = r - to["rank"][i]
             cols = [b.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(to["sequence"][i] + r // to["each"][i]), pa.array(to["offset"][i] + r % to["each"][i] * n)], names)
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.select(*kept, "r").mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in kept)
+    return ranked.select(*[F.col(f"`{c}`") for c in kept], "__r").mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs. Very long texts are cut whole; other columns
+    are ignored."""
     return packed(stored(cut(docs, path, size, end), "pieces"), size)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -201,16 +202,34 @@ def model() -> Boosted:
     return trees
 
 
+def _meets(begins: list[int], ends: list[int], a: int, b: int) -> bool:
+    """Whether a..b overlaps one of the sorted stretches, of which no two overlap."""
+    i = bisect_left(begins, b)
+    return i > 0 and ends[i - 1] > a
+
+
 def chosen(t: str, trees: Boosted, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Base spans and, of the proposals that overlap none of them, those over their thresholds; of overlapping ones the likelier."""
-    cand = [c for c in proposals(t) if not any(a < c[2] and c[1] < b for _, a, b in base)]
+    begins, ends = [], []  # stretches that base spans cover
+    for _, a, b in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    cand = [c for c in proposals(t) if not _meets(begins, ends, c[1], c[2])]
     if not cand:
         return base
     p = trees.predict(np.array([features(t, *c) for c in cand]))
     taken: list[tuple[str, int, int]] = []
+    begins, ends = [], []
     for i in sorted(range(len(cand)), key=lambda i: (-p[i], cand[i][1], KINDS.index(cand[i][0]))):
-        if p[i] >= trees.least[cand[i][0]] and not any(a < cand[i][2] and cand[i][1] < b for _, a, b in taken):
+        kind, a, b = cand[i]
+        if p[i] >= trees.least[kind] and not _meets(begins, ends, a, b):
             taken.append(cand[i])
+            at = bisect_left(begins, a)
+            begins.insert(at, a)
+            ends.insert(at, b)
     return sorted(base + taken, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -1,7 +1,7 @@
 """Quality rules (operator 5): fixed counts, and a hashed n-gram logistic regression trained on labelled rows.
 
-Features are hashed words and hashed byte 3- to 5-grams, each family normalised to its share of the document, so the score is a mean
-of weights and needs no feature vector. A held-out part of the training sample calibrates it (Platt); thresholds are fixed."""
+Features are hashed words, pairs of words, and runs of 3 and of 5 characters (code points), each family normalised to its share of the
+document, so the score is a mean of weights and needs no feature vector. A held-out part of the training sample calibrates it (Platt); thresholds are fixed."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, release, slices, slim
+from .common import byte_texts, release, slices, slim, stored
 
 #: Labelled rows of each class that are used at most: those with the smallest hash of their id.
 SAMPLE = 600
@@ -63,9 +63,11 @@ def measures(t: bytes) -> tuple[int, int, int, int, int, list[bytes]]:
 
 
 def features(t: bytes, words: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Hash buckets of the words and of the byte n-grams of each length; each family is one block of the weights."""
-    a = np.frombuffer(t, np.uint8).astype(np.uint32)
-    out = [np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) >> np.uint32(32 - BITS)]
+    """Hash buckets of the words, of pairs of words, and of the runs of characters of each length; each family is one block of the
+    weights."""
+    a = np.frombuffer(t, np.uint8).astype(np.uint32) if t.isascii() else np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    w = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+    out = [w >> np.uint32(32 - BITS), ((w[:-1] * np.uint32(0x01000193)) ^ w[1:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)]
     for k in GRAMS:
         if len(a) < k:
             out.append(np.zeros(0, np.uint32))
@@ -86,7 +88,7 @@ def score(weights: np.ndarray, bias: float, t: bytes, words: list[bytes]) -> flo
 
 def fit(texts: list[bytes], good: list[int], rounds: int = 300, rate: float = 4.0) -> dict:
     """Logistic regression by full-batch gradient descent on sparse rows (a fifth is held out and calibrates); classes weigh alike."""
-    n, families, y = len(texts), 1 + len(GRAMS), np.array(good, float)
+    n, families, y = len(texts), 2 + len(GRAMS), np.array(good, float)
     held = np.arange(n) % 5 == 0
     use = np.flatnonzero(~held)
     cols, vals, at = [], [], []
@@ -119,16 +121,23 @@ def fit(texts: list[bytes], good: list[int], rounds: int = 300, rate: float = 4.
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> dict | None:
-    """A model from labelled documents: at most `sample` rows of each class, those with the smallest hash of doc_id, of texts of at most
-    `most_bytes` (both bounds keep what is collected small; they don't touch the rows that are scored). None where a class has no row."""
+    """A model from labelled documents: at most `sample` documents of each class, those with the smallest hash of doc_id among the labelled
+    documents of docs whose texts have at most `most_bytes` (both bounds keep what is collected small; they don't touch the rows that are
+    scored). Of rows that share an id the smallest text is learned from. None where docs has no row; ValueError where it has some, but a
+    class has none to learn from."""
     slim(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
-    rows = short.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).collect()
-    if len({r["quality"] for r in rows}) < 2:
-        return None
-    return fit([(r["text"] or "").encode() for r in rows], [r["quality"] for r in rows])
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
+    # first the ids, by hash, then the texts of the chosen
+    there = short.select("doc_id").join(known, "doc_id").distinct()
+    picked = [there.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
+    picked = stored(picked[0].unionByName(picked[1]), "sample")
+    rows = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()  # 2 * sample at most
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    lacking = {0, 1} - {r["quality"] for r in rows}
+    if lacking and not docs.isEmpty():
+        raise ValueError(f"no labelled document of at most {most_bytes} bytes and of quality {sorted(lacking)} to learn from")
+    return None if lacking else fit([(r["text"] or "").encode() for r in rows], [r["quality"] for r in rows])
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_score", "kept"]

@@ -146,7 +146,7 @@ class PrefixCounter:
         out = np.zeros(len(text) + 1, np.int64)
         total = at = 0
         prior, prior_total = "", 0  # the word before, and the count before that
-        open_space = None  # where the white space that ends at `at` begins, and the count before it
+        node, open_space = self.bpe.root, None  # state and count of the white space that ends at `at`
         for w in self.words(text):
             ends: list[int] = []
             if w in self.special:
@@ -162,10 +162,11 @@ class PrefixCounter:
                 out[at + k + 1] = total + c
                 if SPACE.match(w[k]) and w not in self.special:
                     if open_space is None:
-                        open_space = (at + k, total + (ends[k - 1] if k else 0))
-                    run = text[open_space[0] : at + k + 1]
-                    (_, _, count), = self.bpe.states([run.encode()])
-                    out[at + k + 1] = open_space[1] + count[-1]
+                        node, open_space = self.bpe.root, total + (ends[k - 1] if k else 0)
+                    for x in w[k].encode():
+                        node, more = node[2].get(x) or self.bpe.step(node, x)
+                        open_space += more
+                    out[at + k + 1] = open_space
                 else:
                     open_space = None
             prior, prior_total = ("", total + ends[-1]) if w in self.special else (w, total)
