@@ -362,7 +362,7 @@ def run_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from foliant.plans import contents, episodes, queues  # noqa: F401 (they register theirs)
+    from foliant.plans import contents, episodes, queues, speech  # noqa: F401 (they register theirs)
 
     return dict(QUERIES)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -46,3 +49,20 @@ def resume(work: DataFrame, path: str, keys: list[str]) -> DataFrame:
 def append(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Writes what isn't stored yet. A task that is run again leaves no second copy, as Parquet output is committed by job."""
     resume(rows, path, keys).write.mode("append").parquet(path)
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all machines share (spark.checkpoint.dir). Where that is unset, one is made in local mode; elsewhere it
+    is an error, as executors would write to disks of their own. It goes when the application ends."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        d = f"file://{tempfile.gettempdir()}/foliant-work"
+    folder = f"{d.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
