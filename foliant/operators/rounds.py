@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import language_instruction, stripped
+from foliant.functions.text import stripped
 from foliant.operators.models import Model, generated
-from foliant.operators.podcast import filled, segment_prompt, summary_of, topics_after
+from foliant.operators.podcast import TOPICS, filled, segment_prompt, summary_of, topics_after
 from foliant.prompts import DIALOGUES, prompt
 
 # Fixed texts: what stands for a summary before the first segment, and the summariser's instruction.
@@ -46,9 +46,7 @@ def dialogue_rounds(segments: DataFrame, folder: str, make: Callable[[], Model],
         s.withColumn("outline", F.coalesce("outline", F.lit(""))).withColumn("k", k).write.mode("overwrite").partitionBy("k").parquet(f"{folder}/segments")
     parts = spark.read.schema(f"`{key}` {segments.schema[key].dataType.simpleString()}, section_idx {idx.simpleString()}, title string, content string, outline string, k int").parquet(f"{folder}/segments")
     last = parts.agg(F.max("k")).first()[0]
-    template = prompt(DIALOGUES[style])
-    language = language_instruction(F.lit(source), F.lit(target))
-    system = F.concat(filled(F.lit(template), {"speaker1": F.lit(speakers[0]), "speaker2": F.lit(speakers[1]), "target_words": F.lit(words), "target_minutes": F.lit(words // per_minute)}), language)
+    system, language = map(F.lit, dialogue_system(style, speakers, words, per_minute, source, target))
     state, done = None, []
     for k in range(0 if last is None else last + 1):
         path = f"{folder}/round={k}"
@@ -73,6 +71,31 @@ def dialogue_rounds(segments: DataFrame, folder: str, make: Callable[[], Model],
     return spark.read.schema(state.schema).parquet(*done)
 
 
+def dialogue_system(style: str, speakers: tuple[str, str], words: int, per_minute: int, source: str, target: str) -> tuple[str, str]:
+    """The instruction of a dialogue, and what every instruction ends with (the languages, where they aren't both English)."""
+    of = f" The source is in {source}. "
+    language = "" if source == target == "en" else of + (f"Write in {target}." if source == target else f"Translate and write in {target}.")
+    values = {"speaker1": speakers[0], "speaker2": speakers[1], "target_words": words, "target_minutes": words // per_minute}
+    text = prompt(DIALOGUES[style])
+    for k, v in values.items():
+        text = text.replace("{" + k + "}", str(v))
+    return text + language, language
+
+
+def next_segment(model: Model, system: str, language: str, number: int, title: str, content: str, outline: str, summary: str, topics: list[str]) -> tuple[str, str, list[str]]:
+    """One segment (number from 0) outside of a round, as a stream asks for it: its dialogue, and the summary and topics after it."""
+    heads = [f"PODCAST OUTLINE (for reference):\n{outline}\n", f"CURRENT SEGMENT: {number + 1} — {title}\n"]
+    if summary:
+        heads.append(f"CONVERSATION SO FAR (summary):\n{summary}\n")
+    if topics:
+        heads.append("TOPICS ALREADY COVERED (do NOT repeat):\n" + "\n".join(f"- {t}" for t in topics) + "\n")
+    dialogue = model(system, "\n".join([*heads, f"SOURCE MATERIAL FOR THIS SEGMENT:\n{content}"]))
+    asked = prompt("summary").replace("{previous_summary}", summary or NO_SUMMARY).replace("{new_dialogue}", dialogue)
+    before, mark, after = model(SUMMARISER + language, asked).partition(TOPICS)
+    named = [line.strip().lstrip("-•*").strip() for line in after.splitlines()] if mark else []
+    return dialogue, before.strip(), list(dict.fromkeys([*topics, *filter(None, named)]))
+
+
 def stub_speaker() -> Model:
     """Stands in for a language model: says what the segment is called, how long it is and how many topics came before; sums up by the
     first words of titles. Deterministic."""
