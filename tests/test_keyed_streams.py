@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,11 +79,16 @@ def test_runtime(spark, tmp_path):
 
 
 def test_idle_jobs_are_forgotten(spark, tmp_path):
-    batches = [[("a", 0, "stage", 1, None, None)], [("b", 0, "log", None, None, None)]]
-    _, q = streamed(spark, tmp_path, batches, EVENTS, lambda s: keyed.streamed_runtime(s, idle_ms=0), "idle")
-    assert q.lastProgress is not None and q.exception() is None
-    got = {x.job_id: x for x in spark.table("idle").collect()}
-    assert (got["a"].stages, got["b"].n_logs) == ("1", 1)
+    spark.createDataFrame([("a", 0, "stage", 1, None, None)], EVENTS).coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    source = spark.readStream.schema(EVENTS).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = keyed.streamed_runtime(source, idle_ms=1).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+    held = lambda: [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    end = time.time() + 60
+    while time.time() < end and not (held() and max(held()) > 0 and held()[-1] == 0):
+        time.sleep(0.5)
+    q.stop()
+    assert max(held()) > 0 and held()[-1] == 0
+    assert [(x.job_id, x.stages) for x in spark.table("idle").collect()] == [("a", "1")]
 
 
 CHUNKS = "job_id string, seq long, data string, at timestamp"
