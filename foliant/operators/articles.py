@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import safe_name, stripped
 
-#: Stands for a heading while a text is divided; three private characters that texts don't use in a row.
-MARK = "\ue000\ue001\ue000"
+#: Stands for a heading while a text is divided. A text's own first characters of it are followed by KEPT meanwhile, so no text holds it.
+MARK, KEPT = "\ue000\ue002", "\ue000\ue001"
 
 
 def split_by_headings(docs: DataFrame, max_level: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -18,7 +18,8 @@ def split_by_headings(docs: DataFrame, max_level: int = 2, key: str = "doc_id",
     heading = rf"(?mUd)^(#{{1,{max_level}}})\s+(.+)$"
     t = F.coalesce(F.col(text), F.lit(""))
     titles = F.regexp_extract_all(t, F.lit(heading), F.lit(2))
-    bodies = F.split(F.regexp_replace(t, heading, MARK), MARK, -1)
+    escaped = F.replace(t, F.lit(MARK[0]), F.lit(KEPT))
+    bodies = F.transform(F.split(F.regexp_replace(escaped, heading, MARK), MARK, -1), lambda x: F.replace(x, F.lit(KEPT), F.lit(MARK[0])))
     d = docs.select(key, titles.alias("__titles"), bodies.alias("__bodies"))
     found = F.transform("__bodies", lambda body, i: F.struct(F.when(i == 0, "Introduction").otherwise(stripped(F.get("__titles", i - 1))).alias("title"), stripped(body).alias("content")))
     whole = F.array(F.struct(F.lit("Full article").alias("title"), stripped(F.col("__bodies")[0]).alias("content")))

@@ -60,14 +60,14 @@ def ranges(entries: DataFrame, totals: DataFrame) -> DataFrame:
     return totals.join(at, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit(0)).cast("long").alias("start_page"), F.coalesce(F.col("b") - 1, F.col("total_pages") - 1).cast("long").alias("end_page"))
 
 
-def eligible_sections(entries: DataFrame, within: DataFrame, max_level: int = 2, last_to_end: bool = True) -> DataFrame:
+def eligible_sections(entries: DataFrame, within: DataFrame, max_level: int = 2) -> DataFrame:
     """doc_id, section_idx, title, level, start_page, end_page: eligible entries up to the next one's page; a parent that shares its page
-    with a deeper next entry is skipped. The last one ends with the range; without last_to_end, on its own start page."""
+    with a deeper next entry is skipped. The last one ends with the range."""
     w = Window.partitionBy("doc_id").orderBy("ord")
     e = entries.withColumn("kind", kind(F.col("title"))).join(within, "doc_id").where((F.col("level") <= max_level) & F.col("kind").isin("preamble", "content") & F.col("page").between(F.col("start_page"), F.col("end_page")))
     e = e.withColumn("np", F.lead("page").over(w)).withColumn("nl", F.lead("level").over(w))
     e = e.where(~F.coalesce((F.col("np") == F.col("page")) & (F.col("nl") > F.col("level")), F.lit(False)))
-    end = F.when(F.col("np").isNull(), F.col("end_page" if last_to_end else "page")).otherwise(F.greatest("page", F.col("np") - 1))
+    end = F.when(F.col("np").isNull(), F.col("end_page")).otherwise(F.greatest("page", F.col("np") - 1))
     return e.select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("section_idx"), "title", F.col("level").cast("long").alias("level"), F.col("page").cast("long").alias("start_page"), end.cast("long").alias("end_page"))
 
 
@@ -83,12 +83,18 @@ def _whole(within: DataFrame) -> DataFrame:
 
 
 def page_tokens(secs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Token estimate of each section: characters of its pages over 4. A document's pages come together once, as an array beside which its
-    sections are summed, so no page is joined on its own."""
-    chars = pages.groupBy("doc_id").agg(F.collect_list(F.struct("page", "chars")).alias("__pages"))
-    mine = F.filter("__pages", lambda x: x["page"].between(F.col("start_page"), F.col("end_page")))
-    total = F.aggregate(mine, F.lit(0).cast("long"), lambda n, x: n + x["chars"].cast("long"))
-    return secs.join(chars, "doc_id", "left").withColumn("tokens", F.floor(F.coalesce(total, F.lit(0)) / 4).cast("long")).drop("__pages")
+    """Token estimate of each section: characters of its pages (doc_id, page, chars) over 4. Pages and the ends of sections stand in one
+    order by document, along which characters are summed once; a section has what the sum gains between its ends. One exchange by
+    document; neither arrays nor a range join."""
+    ends = F.array(F.struct(F.col("start_page").alias("__page"), F.lit(0).alias("__what")), F.struct(F.col("end_page").alias("__page"), F.lit(2).alias("__what")))
+    marks = secs.select("*", F.inline(ends))
+    rows = marks.unionByName(pages.select("doc_id", F.col("page").alias("__page"), F.lit(1).alias("__what"), F.col("chars").cast("long").alias("__chars")), allowMissingColumns=True)
+    run = F.coalesce(F.sum("__chars").over(Window.partitionBy("doc_id").orderBy("__page", "__what").rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    rows = rows.withColumn("__run", run).where("__what <> 1")
+    before, after = F.max(F.when(F.col("__what") == 0, F.col("__run"))), F.max(F.when(F.col("__what") == 2, F.col("__run")))
+    total = rows.groupBy(*secs.columns).agg(F.greatest(after - before, F.lit(0)).alias("__n"), F.count(F.when(F.col("__what") == 0, 1)).alias("__copies"))
+    # sections that are alike in all columns fell together
+    return total.select(*secs.columns, F.explode(F.array_repeat(F.floor(F.col("__n") / 4).cast("long"), F.col("__copies").cast("int"))).alias("tokens"))
 
 
 def cleaned_headings(h: DataFrame) -> DataFrame:
@@ -189,10 +195,19 @@ def subdivided_one(secs: list[Section], entries: list[tuple[str, int, int]], run
     return secs
 
 
+def over_budget(secs: DataFrame, pages: DataFrame, budget: int) -> DataFrame:
+    """doc_id of the documents that have a section over the budget."""
+    return page_tokens(secs, pages).where(F.col("tokens") > budget).select("doc_id").distinct()
+
+
 def subdivided(secs: DataFrame, entries: DataFrame, pages: DataFrame, budget: int, strict: bool = True) -> DataFrame:
     """secs (doc_id, section_idx, title, level, start_page, end_page) divided to the token budget (see subdivided_one), numbered anew.
     entries: doc_id, ord, level, title, page; pages: doc_id, page, chars. What belongs to a document comes together by doc_id (its
-    pages and entries, no texts); documents whose sections all fit are passed through by the same code."""
+    pages and entries, no texts); documents whose sections all fit don't take part."""
+    heavy = over_budget(secs, pages, budget)
+    fits = secs.join(heavy, "doc_id", "left_anti").withColumn("section_idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("section_idx")) - 1).cast("long"))
+    secs, entries, pages = (x.join(heavy, "doc_id", "left_semi") for x in (secs, entries, pages))
+    long = lambda c: F.col(c).cast("long").alias(c)
     use = F.when(kind(F.col("title")).isin("preamble", "content"), F.struct("ord", "title", F.col("level").cast("long").alias("level"), F.col("page").cast("long").alias("page")))
     e = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(use)).alias("entries"), F.max("level").cast("long").alias("deepest"))
     p = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page").cast("long").alias("page"), F.col("chars").cast("long").alias("chars")))).alias("pages"))
@@ -203,8 +218,9 @@ def subdivided(secs: DataFrame, entries: DataFrame, pages: DataFrame, budget: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, out = [], []
-            for i in range(len(b)):
-                r = {k: b.column(k)[i].as_py() for k in ("secs", "entries", "deepest", "pages")}
+            cols = [b.column(k).to_pylist() for k in ("secs", "entries", "deepest", "pages")]
+            for i, values in enumerate(zip(*cols, strict=True)):
+                r = dict(zip(("secs", "entries", "deepest", "pages"), values, strict=True))
                 chars = np.zeros(1 + max([x["page"] for x in r["pages"] or []], default=-1), np.int64)
                 for x in r["pages"] or []:
                     chars[x["page"]] += x["chars"]
@@ -216,7 +232,8 @@ def subdivided(secs: DataFrame, entries: DataFrame, pages: DataFrame, budget: in
             cols = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), *cols], names)
 
-    return every.mapInArrow(run, f"doc_id {secs.schema['doc_id'].dataType.simpleString()}, section_idx long, title string, level long, start_page long, end_page long")
+    divided = every.mapInArrow(run, f"doc_id {secs.schema['doc_id'].dataType.simpleString()}, section_idx long, title string, level long, start_page long, end_page long")
+    return divided.unionByName(fits.select("doc_id", "section_idx", "title", long("level"), long("start_page"), long("end_page")))
 
 
 def budget_sections(entries: DataFrame, within: DataFrame, pages: DataFrame, budget: int, max_level: int = 2, strict: bool = True) -> DataFrame:

@@ -118,18 +118,17 @@ def toc_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 SECTIONS = RANGES + """, q as (select e.*, start_page s, end_page n from e join r using (doc_id) where level <= 2 and kind in ('preamble', 'content') and page between start_page and end_page), w as (select *, lead(page) over x np, lead(level) over x nl from q window x as (partition by doc_id order by ord)),
- secs as (select doc_id, row_number() over (partition by doc_id order by ord) - 1 section_idx, title, level, page start_page, coalesce(greatest(page, np - 1), n)::bigint end_page from w where not coalesce(np = page and nl > level, false))"""
+ secs as (select doc_id, row_number() over (partition by doc_id order by ord) - 1 section_idx, title, level, page start_page, case when np is null then n else greatest(page, np - 1) end::bigint end_page from w where not coalesce(np = page and nl > level, false))"""
 
 
 @query(SECTIONS + " select * from secs")
 def toc_sections(spark: SparkSession, d: str) -> DataFrame:
-    """As its SQL has it: eligible sections only, the last of a document cut at its start page (greatest() passes nulls over there).
-    toc_whole_sections has all documents and whole ranges."""
-    return toc.eligible_sections(entries(spark, d), content_ranges(spark, d), last_to_end=False)
+    """Eligible sections only; toc_whole_sections has all documents."""
+    return toc.eligible_sections(entries(spark, d), content_ranges(spark, d))
 
 
-WHOLE = SECTIONS + """, ends as (select doc_id, row_number() over (partition by doc_id order by ord) - 1 section_idx, title, level, page start_page, case when np is null then n else greatest(page, np - 1) end::bigint end_page from w where not coalesce(np = page and nl > level, false)),
- whole as (select * from ends union all select doc_id, 0, 'Full Document', 1, start_page, end_page from r anti join ends using (doc_id))"""
+WHOLE = SECTIONS + """,
+ whole as (select * from secs union all select doc_id, 0, 'Full Document', 1, start_page, end_page from r anti join secs using (doc_id))"""
 
 
 @query(WHOLE + " select * from whole")

@@ -30,3 +30,24 @@ def test_kinds_of_titles(spark):
     rows = [(t, k) for k, ts in kinds.items() for t in ts]
     got = spark.createDataFrame(rows, "title string, want string").withColumn("kind", toc.kind(F.col("title"))).where("kind <> want").collect()
     assert got == []
+
+
+def test_tokens_of_sections(spark):
+    import random
+
+    r = random.Random(2)
+    pages = [(d, p, r.randrange(4000)) for d in (1, 2, None) for p in range(0, 60, r.choice([1, 2])) if r.random() < 0.9] + [(1, 5, 100)]
+    secs = [(d, i, f"s{i}", *sorted((r.randrange(-2, 70), r.randrange(-2, 70)))) for d in (1, 2, 3) for i in range(9)] + [(1, 0, "back", 9, 3)] + [(2, 1, "twice", 0, 9)] * 2
+    df = spark.createDataFrame(secs, "doc_id long, section_idx long, title string, start_page long, end_page long")
+    got = toc.page_tokens(df, spark.createDataFrame(pages, "doc_id long, page long, chars int")).collect()
+    want = [(*s, sum(c for d, p, c in pages if d == s[0] and s[3] <= p <= s[4]) // 4) for s in secs]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_headings_of_texts_that_hold_the_marks(spark):
+    from foliant.operators import articles
+
+    odd = "a\ue000\ue001\ue000b\ue000\ue002"
+    text = f"{odd} before\n# One {odd}\n{odd} first\n#\n# Two\nsecond {odd}"
+    got = articles.split_by_headings(spark.createDataFrame([(1, text), (2, odd)], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "Introduction", f"{odd} before"), (1, 1, f"One {odd}", f"{odd} first"), (1, 2, "# Two", f"second {odd}"), (2, 0, "Full article", odd)]
