@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fn
+from foliant.functions.spoken import spoken_column
 from foliant.operators import articles, assembly, blocks, dialogue, podcast, toc
 from foliant.plans.base import ORACLES, QUERIES, WORDS, query, table
 from foliant.sources import pages as web
@@ -291,7 +292,7 @@ def narration_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def spoken_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", fn.spoken("text").alias("text"))
+    return spoken_column(blocks.spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 @query(f"""with secs as ({ORACLES["md_sections"]}), h as (select doc_id, section_idx, list_filter(string_split_regex(title, '\\s+'), lambda x: x <> '')[1:4] head, {WORDS.format('"content"')} n from secs)
