@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions import tables
 from foliant.operators import narration, rounds
 from foliant.operators.blocks import stub_model
 from foliant.plans.base import ORACLES, query, table
-from foliant.plans.registry import md_sections
+from foliant.plans.registry import md_sections, scripts
 from foliant.prompts import BLOCKS, prompt
 from foliant.sources import maintext
 from foliant.sources.store import working_folder
@@ -47,3 +48,27 @@ def narration_by_model(spark: SparkSession, d: str) -> DataFrame:
 def dialogue_by_rounds(spark: SparkSession, d: str) -> DataFrame:
     rows = rounds.dialogue_rounds(md_sections(spark, d), working_folder(spark, "rounds"), rounds.stub_speaker)
     return rows.withColumn("covered_topics", F.array_join("covered_topics", "|"))
+
+
+@query(ORACLES["narration_blocks"])
+def blocks_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks by SQL alone, through a table function beside each row."""
+    tables.register(spark)
+    return spark.sql("select doc_id, b.* from {docs}, lateral split_blocks(text) b", docs=table(spark, d, "documents"))
+
+
+@query(ORACLES["narration_blocks"])
+def line_blocks_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The same out of a table of lines, one document's lines at a time."""
+    tables.register(spark)
+    lines = spark.sql("select doc_id, pos, col line from (select doc_id, posexplode(split(text, '\n', -1)) from {docs})", docs=table(spark, d, "documents"))
+    return spark.sql("select * from line_blocks(table({lines}))", lines=lines)
+
+
+@query(ORACLES["timeline_offsets"])
+def timeline_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Turns by a table function, and their offsets by a window, in SQL alone."""
+    tables.register(spark)
+    turns = spark.sql("select conv_id, cast(turn_idx as long) turn_idx, tag, text from {s}, lateral split_turns(dialogue)", s=scripts(spark, d))
+    spoken = "case tag when 'PAUSE' then case text when '[PAUSE_SHORT]' then 12000 when '[PAUSE_MEDIUM]' then 28800 else 48000 end else cast(regexp_count(text, '(?U)\\\\S+') * 1440000 / 150 as long) + 7200 end"
+    return spark.sql(f"select conv_id, turn_idx, tag, cast({spoken} as long) samples, cast(coalesce(sum({spoken}) over (partition by conv_id order by turn_idx rows between unbounded preceding and 1 preceding), 0) as long) offset from {{t}}", t=turns)
