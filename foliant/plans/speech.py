@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from foliant.functions import tables
 from foliant.operators import narration, rounds
-from foliant.operators.blocks import stub_model
+from foliant.operators.blocks import blocks, stub_model
 from foliant.plans.base import ORACLES, query, table
-from foliant.plans.registry import md_sections, scripts
+from foliant.plans.registry import LINES, md_sections, scripts
 from foliant.prompts import BLOCKS, prompt
 from foliant.sources import maintext
 from foliant.sources.store import working_folder
@@ -72,3 +72,25 @@ def timeline_by_sql(spark: SparkSession, d: str) -> DataFrame:
     turns = spark.sql("select conv_id, cast(turn_idx as long) turn_idx, tag, text from {s}, lateral split_turns(dialogue)", s=scripts(spark, d))
     spoken = "case tag when 'PAUSE' then case text when '[PAUSE_SHORT]' then 12000 when '[PAUSE_MEDIUM]' then 28800 else 48000 end else cast(regexp_count(text, '(?U)\\\\S+') * 1440000 / 150 as long) + 7200 end"
     return spark.sql(f"select conv_id, turn_idx, tag, cast({spoken} as long) samples, cast(coalesce(sum({spoken}) over (partition by conv_id order by turn_idx rows between unbounded preceding and 1 preceding), 0) as long) offset from {{t}}", t=turns)
+
+
+#: Lines of all kinds out of the lines of documents: fences, blank lines, tables, headings, list items, metadata and plain lines, by place.
+KINDS = ("```", "", "| {} |", "## {}", "* {}", "Copyright {}")
+
+
+@query(f"""with l as (select doc_id, i, substr(md5(line), 1, 8) h, (doc_id * 7 + i * i) % 11 c from ({LINES})), k as (select *, sum((c = 0)::int) over (partition by doc_id order by i) fence from l)
+, m as (select doc_id, i, c, case c when 0 then '```' when 1 then '' when 2 then '| ' || h || ' |' when 3 then '## ' || h when 4 then '* ' || h when 5 then 'Copyright ' || h else 'Line ' || h end line, fence, c = 0 or fence % 2 = 1 code from k)
+, r as (select *, sum((code or c in (1, 2, 3))::int) over (partition by doc_id order by i) part from m)
+, s as (select *, max((c = 4)::int) over w listed, max((c = 5)::int) over w meta from r window w as (partition by doc_id, part order by i))
+, n as (select *, case when code then 'code' when c = 1 then null when c = 2 then 'table' when c = 3 then 'heading' when listed = 1 then 'list' when meta = 1 then 'metadata' else 'paragraph' end kind, (fence + 1) // 2 pair from s)
+, b as (select *, sum((kind is distinct from before or kind = 'heading' or (kind = 'code' and pair <> was))::int) over (partition by doc_id order by i) block from (select *, lag(kind) over (partition by doc_id order by i) before, lag(pair) over (partition by doc_id order by i) was from n))
+select doc_id, (row_number() over (partition by doc_id order by block) - 1)::int block_idx, any_value(kind) kind, case when any_value(kind) = 'heading' then substr(any_value(line), 4) else rtrim(string_agg(line, chr(10) order by i), chr(10)) end "content", case when any_value(kind) = 'heading' then 2 else 0 end::int "level"
+ from b where kind is not null group by doc_id, block""")
+def blocks_of_all_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Typed blocks of texts that hold every kind; what a list or metadata goes on with belongs to it, and a fence ends with the next one."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    c, h = (F.col("doc_id") * 7 + F.col("i") * F.col("i")) % 11, F.substring(F.md5("line"), 1, 8)
+    form = F.get(F.array(*map(F.lit, KINDS)), c.cast("int"))
+    lines = lines.select("doc_id", "i", F.replace(F.coalesce(form, F.lit("Line {}")), F.lit("{}"), h).alias("line"))
+    texts = lines.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("i", "line")))["line"], "\n").alias("text"))
+    return blocks(texts)
