@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from foliant.operators import articles, extract, toc
 from foliant.plans.base import query, table
 from foliant.plans.registry import ENTRIES, PAGES, RANGES, content_ranges, entries, marked, page_text
+from foliant.sources.manifest import Manifest
+from foliant.sources.store import working_folder
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -164,8 +166,25 @@ def context_budgets(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query(DIVIDED.replace("select doc_id, (row_number()", "select doc_id, section_idx, title, coalesce((select string_agg('p' || page, chr(10) order by page) from pre where pre.doc_id = z.doc_id and pre.page between start_page and end_page), '') \"content\" from (select doc_id, (row_number()", 1).replace(" from out", " from out) z", 1).replace(f"> {BUDGET}", "> 20").replace("(doc_id * 31 + page * 17) % 4000", "length('p' || page)"))
+DOCUMENT_SECTIONS = DIVIDED.replace("select doc_id, (row_number()", "select doc_id, section_idx, title, coalesce((select string_agg('p' || page, chr(10) order by page) from pre where pre.doc_id = z.doc_id and pre.page between start_page and end_page), '') \"content\" from (select doc_id, (row_number()", 1).replace(" from out", " from out) z", 1).replace(f"> {BUDGET}", "> 20").replace("(doc_id * 31 + page * 17) % 4000", "length('p' || page)")
+
+
+@query(DOCUMENT_SECTIONS)
 def document_sections(spark: SparkSession, d: str) -> DataFrame:
     pages = page_text(spark, d).select("doc_id", "page", F.concat(F.lit("p"), F.col("page").cast("string")).alias("text"))
     e = entries(spark, d)
     return extract.document_sections(e, e.groupBy("doc_id").agg((F.max("page") + 10).alias("total_pages")), pages, budget=20)
+
+
+@query(f"""select doc_id, section_idx, title, "content", 'pdf' mode, false cached from ({DOCUMENT_SECTIONS}) where doc_id % 3 = 0
+ union all select * from (with {ARTICLES} select doc_id, section_idx, title, "content", 'url', false from s where doc_id % 3 = 1 union all select doc_id, 0, 'Full article', '', 'url', false from documents where text is null and doc_id % 3 = 1)
+ union all select doc_id, 0, 'Kept', {STRIP.format('source')}, 'resume', true from documents where doc_id % 3 = 2""")
+def extracted_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of three kinds, told apart by what they are; the resumed ones have a stored file each."""
+    docs, own = table(spark, d, "documents"), F.col("doc_id") % 3
+    ids = entries(spark, d).select("doc_id").unionByName(docs.select("doc_id")).distinct()
+    value = F.when(own == 0, F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf"))).when(own == 1, F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")))
+    sources = ids.select("doc_id", value.alias("value"), F.lit("text/html").alias("content_type"))
+    cache = Manifest(spark, working_folder(spark, "sections"), ["doc_id", "file_name"])
+    cache.commit(docs.where(own == 2).select("doc_id", F.lit("00_Kept.md").alias("file_name"), F.concat(F.lit("# Kept\n\n"), "source").alias("body")))
+    return extract.extract_content(sources, marked(spark, d), document_sections(spark, d), cache)
