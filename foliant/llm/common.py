@@ -75,9 +75,11 @@ def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a stored table that no later step reads."""
+    """Deletes a stored table that no later step reads, and has the driver's JVM collect what it no longer needs: only then does Spark
+    remove the shuffle files of the jobs that are done, on all machines."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    spark._jvm.System.gc()
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,7 @@ def terms_of(raw: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, most: int = HELD) -> DataFrame:
     """lang, source, term (binary), n, docs: summed per task as far as its memory allows. A group without a term has a row of null term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 d.update(own)
                 size += len(n) - before
                 held += sum(map(len, own)) if len(n) > before else 0
-                if size > HELD or held > HELD_BYTES:
+                if size > most or held > HELD_BYTES:
                     yield from rows()
                     size = held = 0
         yield from rows()
@@ -188,7 +188,7 @@ def _tile(top: int):  # noqa: ANN202
     return run
 
 
-def audited(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST, top: int = TOP, tile: int = TILE) -> DataFrame:
+def audited(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST, top: int = TOP, tile: int = TILE, held: int = HELD) -> DataFrame:
     """lang, source, part, item, value, rank. Part `pair`: every other source of the language, value the sum of differences over the terms
     that the language keeps (those in `least` of its documents), all ranks. Part `term`: the `top` kept terms that the source has more of
     than its language. Null languages, sources and texts are empty ones; a group without a term, even one of a language that keeps none, has
@@ -196,7 +196,7 @@ def audited(docs: DataFrame, lang: str = "lang", source: str = "source", text: s
     other columns are ignored, whatever their names; an empty table gives no rows. Exchanges: counts by group and term, summed in the
     tasks first; postings by tile; partial sums by pair."""
     c = lambda name: F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
-    counts = counted(docs.select(c(lang).alias("lang"), c(source).alias("source"), c(text).alias("text")))
+    counts = counted(docs.select(c(lang).alias("lang"), c(source).alias("source"), c(text).alias("text")), held)
     counts = stored(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
     kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term")
     postings = stored(counts.where("term is not null").join(kept, ["lang", "term"]).select("lang", "source", "term", "n"), "postings")

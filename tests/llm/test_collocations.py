@@ -8,6 +8,7 @@ import pytest
 
 pytest.importorskip("foliant.llm.entry")
 from foliant.llm import collocations as C  # noqa: E402
+from foliant.llm.runs import widths  # noqa: E402
 
 
 def plain(rows, longest, least, share, top):
@@ -40,8 +41,10 @@ def plain(rows, longest, least, share, top):
 @pytest.mark.parametrize("block", [40, 1 << 20])
 def test_brute_force(spark, monkeypatch, block):
     r = random.Random(block)
-    monkeypatch.setattr(C, "BLOCK", block)
     monkeypatch.setattr(C, "GROUP", 20)
+    if block == 40:  # many ranges, dealt in levels
+        monkeypatch.setattr(C, "RANGE", 900)
+        monkeypatch.setattr(C, "widths", lambda n: widths(n, 3))
     words = ["a", "B", "b", "é", "日本", "new", "York", "city", "\xa0", "x\x00y", "--", "İ"]
     rows = []
     for _ in range(300):
@@ -50,12 +53,14 @@ def test_brute_force(spark, monkeypatch, block):
     rows += [("en", None), (None, ""), ("xx", "only few words"), ("en", rows[0][1]), ("en", rows[0][1])]
     df = spark.createDataFrame([(i, *x, "s") for i, x in enumerate(rows)], "id long, lang string, text string, phrase string").repartition(3)
     for longest, least, share, top in ((4, 5, 80, 40), (2, 3, 80, 1000)) if block == 40 else ((5, 3, 100, 1000),):
-        got = sorted(map(tuple, C.collocations(df, longest=longest, least=least, share=share, top=top).collect()))
+        got = sorted(map(tuple, C.collocations(df, longest=longest, least=least, share=share, top=top, block=block).collect()))
         assert got == plain(rows, longest, least, share, top)
 
 
 def test_long_texts_and_edges(spark, monkeypatch):
     monkeypatch.setattr(C, "PART", 50)
+    t = ("some words. and more\n" * 40 + "x" * 200 + ", end").encode()
+    assert b"".join(C._pieces(t)) == t and all(p[-1:] in b".,\n" for p in list(C._pieces(t))[:-1]) and len(list(C._pieces(t))) > 9
     rows = [("en", "one two three four. " * 50), ("en", "word " * 2000), (None, None)]
     df = spark.createDataFrame(rows, "lang string, text string")
     got = sorted(map(tuple, C.collocations(df).collect()))

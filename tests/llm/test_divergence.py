@@ -41,8 +41,9 @@ def plain(rows, least, top):
 @pytest.mark.parametrize(("seed", "tile"), [(1, 5), (2, 300_000)])
 def test_brute_force(spark, monkeypatch, seed, tile):
     r = random.Random(seed)
-    monkeypatch.setattr(D, "HELD", 30)
     monkeypatch.setattr(D, "PART", 40)
+    long = "One two.three " * 30 + "x" * 90
+    assert [t for part in D.terms_of(long.encode()) for t in part] == D.TERM.findall(long.lower().encode()) and len(list(D.terms_of(long.encode()))) > 5
     rows = []
     for _ in range(400):
         source = r.choice(["s1", "s2", "s3", "s4", "s5", "s6", "s7", "s8", "s9", None])
@@ -50,7 +51,7 @@ def test_brute_force(spark, monkeypatch, seed, tile):
         rows.append((r.choice(["en", "fr", None]), source, " ".join(r.choice(vocabulary) + r.choice(["", "", ".", "1", "_x"]) for _ in range(r.randrange(12)))))
     rows += [("en", "empty", None), ("zz", "a", "few words"), ("zz", "b", ""), ("", "s1", "the the"), ("en", "\u00e9", "the")]
     df = spark.createDataFrame([(i, *x, "x") for i, x in enumerate(rows)], "id long, lang string, source string, text string, item string").repartition(3)
-    assert sorted(map(tuple, D.audited(df, least=5, top=4, tile=tile).collect())) == plain(rows, 5, 4)
+    assert sorted(map(tuple, D.audited(df, least=5, top=4, tile=tile, held=30 if tile == 5 else D.HELD).collect())) == plain(rows, 5, 4)
     if seed == 2:
         assert D.audited(df.limit(0)).collect() == []
         odd = df.withColumnsRenamed({"lang": "term", "source": "n", "text": "whole"}).selectExpr("*", "1 as lang", "2 as tile")
