@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import stripped
@@ -62,6 +62,18 @@ def segment_prompt(outline: Column, number: Column, title: Column, summary: Colu
     return F.concat_ws("\n", *heads, so_far, covered, F.concat(F.lit("SOURCE MATERIAL FOR THIS SEGMENT:\n"), content))
 
 
+def outlined_prompts(segments: DataFrame, outlines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """segments (key, section_idx, title, content, summary, covered_topics, ...) with the prompt of each, into which its document's outline
+    (key, outline; one row a document, none: empty) is joined. The outline stands once a document and meets its segments by the key, so
+    Spark sends the smaller side around where it is small, and deals both where it isn't."""
+    of = outlines.select(F.col(key).alias("__key"), F.col("outline").alias("__outline"))
+    s = segments.join(of, F.col(key).eqNullSafe(F.col("__key")), "left")
+    number = F.row_number().over(Window.partitionBy(key).orderBy("section_idx")) - 1
+    some = lambda c: F.coalesce(F.col(c), F.lit(""))
+    topics = F.coalesce("covered_topics", F.array().cast("array<string>"))
+    return s.select(*segments.columns, segment_prompt(some("__outline"), number, some("title"), some("summary"), topics, some("content")).alias("prompt"))
+
+
 def frame_values(title: Column, topics: Column, speaker_1: Column, speaker_2: Column) -> dict[str, Column]:
     """What introduction and end are filled with: an untitled episode says so, and ten topics are named at most."""
     return {"speaker1": speaker_1, "speaker2": speaker_2, "title": F.coalesce(F.nullif(title, F.lit("")), F.lit("Untitled Episode")), "topics": F.array_join(F.slice(topics, 1, 10), ", ")}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import tables
-from foliant.operators import narration, rounds
+from foliant.operators import narration, podcast, rounds
 from foliant.operators.blocks import blocks, stub_model
 from foliant.plans.base import ORACLES, query, table
 from foliant.plans.registry import LINES, md_sections, scripts
@@ -94,3 +94,15 @@ def blocks_of_all_kinds(spark: SparkSession, d: str) -> DataFrame:
     lines = lines.select("doc_id", "i", F.replace(F.coalesce(form, F.lit("Line {}")), F.lit("{}"), h).alias("line"))
     texts = lines.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("i", "line")))["line"], "\n").alias("text"))
     return blocks(texts)
+
+
+@query(r"""with o as (select conv_id, string_agg(turn || ' ' || role, chr(10) order by turn) outline from conversations group by 1), n as (select *, row_number() over (partition by conv_id order by turn) number from conversations)
+select conv_id, turn, 'PODCAST OUTLINE (for reference):' || chr(10) || outline || chr(10) || chr(10) || 'CURRENT SEGMENT: ' || number || ' — ' || role || chr(10) || chr(10) || 'SOURCE MATERIAL FOR THIS SEGMENT:' || chr(10) || coalesce(text, '') prompt from n join o using (conv_id)""")
+def outlined_segments(spark: SparkSession, d: str) -> DataFrame:
+    """One outline a conversation in the prompt of each of its turns."""
+    c = table(spark, d, "conversations")
+    line = F.struct("turn", F.concat(F.col("turn").cast("string"), F.lit(" "), "role").alias("line"))
+    outlines = c.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(line))["line"], "\n").alias("outline"))
+    none = {"summary": F.lit(""), "covered_topics": F.array().cast("array<string>")}
+    segments = c.select("conv_id", F.col("turn").alias("section_idx"), F.col("role").alias("title"), F.col("text").alias("content")).withColumns(none)
+    return podcast.outlined_prompts(segments, outlines, "conv_id").select("conv_id", F.col("section_idx").alias("turn"), "prompt")
