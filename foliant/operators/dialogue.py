@@ -50,7 +50,8 @@ def timeline(t: DataFrame, key: str = "doc_id", words_per_minute: int = 150) ->
 
 def rolled(segments: DataFrame) -> DataFrame:
     """segments (doc_id, section_idx, title, content) with dialogue, summary and covered topics: each document's segments in order, every
-    one seeing what the ones before covered. The model is a deterministic stub."""
+    one seeing what the ones before covered. The model is a deterministic stub. Ids of any type; null titles and contents are empty."""
+    kind = segments.schema["doc_id"].dataType.simpleString()
 
     def fold(b: pd.DataFrame) -> pd.DataFrame:
         summary, topics, rows = "", [], []
@@ -62,4 +63,5 @@ def rolled(segments: DataFrame) -> DataFrame:
             rows.append((r.doc_id, r.section_idx, dialogue, summary, list(topics)))
         return pd.DataFrame(rows, columns=["doc_id", "section_idx", "dialogue", "summary", "covered_topics"])
 
-    return segments.select("doc_id", "section_idx", "title", "content").groupBy("doc_id").applyInPandas(fold, "doc_id long, section_idx long, dialogue string, summary string, covered_topics array<string>")
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return segments.select("doc_id", "section_idx", text("title"), text("content")).groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, section_idx long, dialogue string, summary string, covered_topics array<string>")

@@ -244,4 +244,5 @@ def streamed_status(events: DataFrame) -> DataFrame:
         state.update((seq, status, n))
         yield pd.DataFrame([(key[0], status, n)], columns=["job_id", "status", "n_events"])
 
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, n_events long", "seq long, status string, n long", "update", GroupStateTimeout.NoTimeout)
+    kind = events.schema["job_id"].dataType.simpleString()
+    return events.groupBy("job_id").applyInPandasWithState(step, f"job_id {kind}, status string, n_events long", "seq long, status string, n long", "update", GroupStateTimeout.NoTimeout)

@@ -160,3 +160,11 @@ def test_rounds(spark, tmp_path):
 def test_no_segments(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, section_idx long, title string, content string")
     assert rounds.dialogue_rounds(df, f"file://{tmp_path}/run", rounds.stub_speaker).count() == 0
+
+
+def test_rolled_with_odd_rows(spark):
+    from foliant.operators.dialogue import rolled
+
+    df = spark.createDataFrame([("a", 0, None, None), ("a", 1, "Two words", "x y z")], "doc_id string, section_idx long, title string, content string")
+    got = sorted(rolled(df).collect(), key=lambda r: r.section_idx)
+    assert [(r.doc_id, r.dialogue, r.summary) for r in got] == [("a", "[S1] About . [S2] 0 words, after 0 topics.", ""), ("a", "[S1] About Two words. [S2] 3 words, after 0 topics.", "Two words")]
