@@ -191,10 +191,15 @@ def runtime_state(events: DataFrame) -> DataFrame:
 
 def lines_of(chunks: DataFrame) -> DataFrame:
     """job_id, line_idx, line of chunks (job_id, seq, data): the text of a job's chunks divided into lines; a last line without an end
-    counts unless it is blank."""
-    g = chunks.groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "data"))), lambda x: x["data"]), "").alias("t"))
-    lines = g.select("job_id", F.split("t", "\n", -1).alias("l")).select("job_id", F.posexplode("l").alias("line_idx", "line"), F.size("l").alias("n"))
-    return lines.where((F.col("line_idx") < F.col("n") - 1) | F.col("line").rlike(r"(?U)\S")).select("job_id", F.col("line_idx").cast("long").alias("line_idx"), "line")
+    counts unless it is blank. Lines are numbered by the ends of lines before them, so only the pieces of one line ever come together."""
+    c = chunks.select("job_id", "seq", F.coalesce("data", F.lit("")).alias("data"))
+    w = Window.partitionBy("job_id").orderBy("seq", "data").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.regexp_count("data", F.lit("\n"))
+    before, place = F.coalesce(F.sum(ends).over(w), F.lit(0)), F.count("*").over(w)
+    c = c.withColumns({"__before": before, "__place": place, "__all": F.sum(ends).over(Window.partitionBy("job_id"))})
+    pieces = c.select("job_id", "__before", "__place", "__all", F.posexplode(F.split("data", "\n", -1)).alias("__i", "piece")).withColumn("line_idx", (F.col("__before") + F.col("__i")).cast("long"))
+    lines = pieces.groupBy("job_id", "line_idx", "__all").agg(F.array_join(F.sort_array(F.collect_list(F.struct("__place", "piece")))["piece"], "").alias("line"))
+    return lines.where((F.col("line_idx") < F.col("__all")) | F.col("line").rlike(r"(?U)\S")).select("job_id", "line_idx", "line")
 
 
 def streamed_lines(chunks: DataFrame) -> DataFrame:
