@@ -360,7 +360,8 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) of every row of docs (doc_id, text).
     Null and empty texts and texts without words: an empty set, linked with nothing. Rows that repeat are linked. A null doc_id is
-    ignored as a label unless no linked row has one. Fewer than five words count as one token. Empty table: no rows."""
+    ignored as a label unless no linked row has one. Fewer than five words count as one token. Very long texts count whole; other columns are
+    ignored. Empty table: no rows."""
     rows, known = linked_sets(docs)
     out = rows.join(known.select("sign", "component_id"), "sign", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

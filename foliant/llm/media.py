@@ -49,8 +49,8 @@ def feature(a: np.ndarray) -> str:
 
 def stored_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", with_media: bool = False) -> DataFrame:
     """key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (with_media: and the file) of every
-    row; all but the sizes of the text come from what is read back. Null counts as empty: one row of 255. Equal texts, equal values; an
-    empty table gives no rows. One narrow pass."""
+    row; all but the sizes of the text come from what is read back. Null counts as empty: one row of 255. Equal texts, equal values; very
+    long texts are stored whole; other columns are ignored; an empty table gives no rows. One narrow pass."""
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["media"] if with_media else [])]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.binary()] if with_media else [])]
 

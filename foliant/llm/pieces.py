@@ -128,7 +128,8 @@ def decoded(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -
 def piece_digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes every row: key, n_ids, n_byte_ids (ids that stand for single bytes), ids_crc32 (of little-endian unsigned
     32-bit ids), decoded_sha256, round_trip (decoded text equals the text). Null and empty texts: no ids, round_trip true. A text that
-    holds U+2581 itself doesn't round-trip, as that character stands for a space. Repeated rows give equal rows. No shuffle."""
+    holds U+2581 itself doesn't round-trip, as that character stands for a space. Repeated rows give equal rows; very long texts are
+    encoded whole; other columns are ignored; an empty table gives no rows. No shuffle."""
     names = ["n_ids", "n_byte_ids", "ids_crc32", "decoded_sha256", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
